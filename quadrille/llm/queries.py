@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import exact, packing, simhash
+
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_simhash_vptree(spark: SparkSession, d: str) -> DataFrame:
@@ -12,8 +15,27 @@ def op1_simhash_vptree(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_pack_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
+
+
+def op9_exact_recipes(spark: SparkSession, d: str) -> DataFrame:
+    out = exact.exact_duplicates(spark.read.parquet(f"{d}/documents.parquet"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP9_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op3_pack_cutting_stock": op3_pack_cutting_stock,
+    "op9_exact_recipes": op9_exact_recipes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_recipes": OP9_SQL,
+}
