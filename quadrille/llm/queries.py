@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, packing, simhash
+from . import exact, packing, quality, simhash
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -19,6 +19,51 @@ def op3_pack_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
 
+def op7_quality_hosts(spark: SparkSession, d: str) -> DataFrame:
+    out = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP7_SQL = r"""
+WITH base AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), wins AS (
+  SELECT *, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]}) AS g FROM base
+), lined AS (
+  SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM wins
+), ids AS (
+  SELECT row_number() OVER () AS rid, * FROM lined
+), spots AS (
+  SELECT rid, g[i] AS win, i FROM (SELECT rid, g, unnest(range(1, len(g) + 1)) AS i FROM ids)
+), again AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM spots
+), covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) AS o(k) WHERE c > 1 GROUP BY rid
+), measured AS (
+  SELECT ids.doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM ids LEFT JOIN covered USING (rid)
+), judged AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM measured
+), hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS bad FROM judged GROUP BY source
+), moments AS (
+  SELECT sum(bad) / sum(n) AS m, sum(n) AS total, count(*) AS k, sum(bad * bad / n) / sum(n) AS sq FROM hosts
+), spread AS (
+  SELECT m, greatest(greatest(sq - m * m, 0) - m * (1 - m) * k / total, 0) AS between_hosts FROM moments
+), prior AS (
+  SELECT m, CASE WHEN between_hosts > 0 THEN least(greatest(m * (1 - m) / between_hosts - 1, 1), 1e6) ELSE 1e6 END AS s FROM spread
+), rated AS (
+  SELECT source, (bad + m * s) / (n + s) AS rate FROM hosts, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND rate <= 0.6) AS kept
+FROM judged JOIN rated ON judged.source IS NOT DISTINCT FROM rated.source
+"""
+
+
 def op9_exact_recipes(spark: SparkSession, d: str) -> DataFrame:
     out = exact.exact_duplicates(spark.read.parquet(f"{d}/documents.parquet"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -33,9 +78,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op3_pack_cutting_stock": op3_pack_cutting_stock,
+    "op7_quality_hosts": op7_quality_hosts,
     "op9_exact_recipes": op9_exact_recipes,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_quality_hosts": OP7_SQL,
     "op9_exact_recipes": OP9_SQL,
 }
