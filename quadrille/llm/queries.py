@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, packing, quality, simhash
+from . import exact, neighbours, packing, piece_model, quality, simhash
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -15,6 +16,11 @@ def op1_simhash_vptree(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_sentencepiece_codec(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, parity with the sentencepiece library, decoded_sha256 and round_trip of every whole text."""
+    return piece_model.round_trips(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op3_pack_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
@@ -64,6 +70,13 @@ FROM judged JOIN rated ON judged.source IS NOT DISTINCT FROM rated.source
 """
 
 
+def op8_quality_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    out = neighbours.score(docs.select("doc_id", "text"), neighbours.fit(docs, labels.where(~held)))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_exact_recipes(spark: SparkSession, d: str) -> DataFrame:
     out = exact.exact_duplicates(spark.read.parquet(f"{d}/documents.parquet"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -77,8 +90,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
+    "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op3_pack_cutting_stock": op3_pack_cutting_stock,
     "op7_quality_hosts": op7_quality_hosts,
+    "op8_quality_neighbours": op8_quality_neighbours,
     "op9_exact_recipes": op9_exact_recipes,
 }
 
