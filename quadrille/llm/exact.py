@@ -104,7 +104,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lists = verified.distinct().groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
         lists = lists.select("sha", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.part))").alias("recipe"))
         own = written(own.drop("recipe").join(lists, "sha", "left").withColumn("recipe", F.coalesce("recipe", F.lit(b""))))
-    groups = own.groupBy("recipe").agg(F.max(F.struct("id", "uid")).alias("last"), F.count("*").alias("group_size"))
+    groups = written(own.groupBy("recipe").agg(F.max(F.struct("id", "uid")).alias("last"), F.count("*").alias("group_size")))  # so the join can split a hot recipe
     return own.join(groups, "recipe").select(
         F.col("id").alias(id_col),
         "uid",
