@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, neighbours, packing, piece_model, quality, simhash
+from . import exact, neighbours, packing, pages, piece_model, quality, simhash, surrogates, urls
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -25,6 +25,27 @@ def op3_pack_cutting_stock(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{d}/documents.parquet"), f"{TOKENIZERS}/word_bpe_49k.json", capacity=2048)
 
 
+def op4_html_suffix_array(spark: SparkSession, d: str) -> DataFrame:
+    return pages.extract(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op5_url_segments(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{d}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+#: A deployment passes a secret of its own; this one only makes the registered queries repeatable.
+PII_KEY = b"registered queries"
+
+
+def op6_pii_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, the text with its entities replaced, and how many there were."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return surrogates.replace(docs, PII_KEY)
+
+
 def op7_quality_hosts(spark: SparkSession, d: str) -> DataFrame:
     out = quality.judge(spark.read.parquet(f"{d}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -92,6 +113,9 @@ QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
     "op3_pack_cutting_stock": op3_pack_cutting_stock,
+    "op4_html_suffix_array": op4_html_suffix_array,
+    "op5_url_segments": op5_url_segments,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_quality_hosts": op7_quality_hosts,
     "op8_quality_neighbours": op8_quality_neighbours,
     "op9_exact_recipes": op9_exact_recipes,
