@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of the Arrow batches in which tables are made; texts are long, and batches are held twice by each side.
+BATCH_ROWS = 1500
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Bytes of text that one slice of an Arrow batch holds at most, unless a single row is longer.
 SLICE_BYTES = 4 << 20
 
@@ -33,26 +38,36 @@ class Written:
     def table(self, df: DataFrame) -> tuple[DataFrame, str]:
         self.count += 1
         path = f"{self.base}/{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_ROWS)
+        self.spark.conf.set(_ROWS, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_ROWS, before)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def __call__(self, df: DataFrame) -> DataFrame:
         return self.table(df)[0]
 
+    def release(self) -> None:
+        """Lets Spark's cleaner take the shuffle files that only dropped plans refer to."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces whose text column holds SLICE_BYTES or a single row."""
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose text column holds at most that many bytes, or a single row."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
     for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE_BYTES:
+        if i > start and total + n > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -64,15 +79,16 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def map_slices(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def map_slices(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow by slices of bounded bytes; fn returns a batch of the schema, or None for no rows."""
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, text_at):
+            for piece in slices(batch, text_at, slice_bytes):
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, neighbours, packing, pages, piece_model, quality, simhash, surrogates, urls
+from . import exact, neighbours, packing, pages, piece_model, quality, simhash, suffixes, surrogates, urls
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
@@ -109,6 +109,11 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+def op10_suffix_merge(spark: SparkSession, d: str) -> DataFrame:
+    out = suffixes.remove_repeats(spark.read.parquet(f"{d}/documents.parquet"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_simhash_vptree": op1_simhash_vptree,
     "op2_sentencepiece_codec": op2_sentencepiece_codec,
@@ -119,6 +124,7 @@ QUERIES = {
     "op7_quality_hosts": op7_quality_hosts,
     "op8_quality_neighbours": op8_quality_neighbours,
     "op9_exact_recipes": op9_exact_recipes,
+    "op10_suffix_merge": op10_suffix_merge,
 }
 
 ORACLES: dict[str, str] = {
