@@ -103,27 +103,36 @@ def route(values: np.ndarray, tree: tuple[np.ndarray, np.ndarray], depth: int, r
     return home, who, at
 
 
-def shard_links(resident: np.ndarray, visitor: np.ndarray, k: int, inside: bool = True) -> np.ndarray:
-    """Links (u, v) that join all points within k bits, among residents and between them and visitors: each point with the smallest of its component here."""
+def shard_links(resident: np.ndarray, visitor: np.ndarray, k: int, inside: bool = True, pairs: bool = False) -> np.ndarray:
+    """Links (u, v) that join all points within k bits, among residents and between them and visitors.
+
+    Each point is linked with the smallest of its component here; with pairs, by a spanning forest whose links are themselves within k bits.
+    """
     everything = np.unique(np.concatenate([resident, visitor]))
     mine = np.unique(resident)
     place = np.searchsorted(everything, mine)
     rows = everything if inside else np.unique(visitor)
     label = np.arange(len(everything))
+    forest: list[np.ndarray] = []
     step = max(1, (1 << 21) // max(len(mine), 1))
     for a in range(0, len(rows), step):
         some = rows[a : a + step]
         close = np.bitwise_count(some[:, None] ^ mine[None, :]) <= k
         where = np.searchsorted(everything, some)
         for i in np.flatnonzero(close.sum(1) > np.isin(some, mine)):  # each finds itself
-            got = np.unique(label[np.append(place[close[i]], where[i])])
+            others = place[close[i]]
+            got, one = np.unique(np.append(label[where[i]], label[others]), return_index=True)
             if len(got) > 1:
+                reached = one[got != label[where[i]]] - 1
+                forest.append(np.stack([np.repeat(everything[where[i]], len(reached)), everything[others[reached]]]))
                 label[np.isin(label, got)] = got[0]
+    if pairs:
+        return np.concatenate(forest, axis=1) if forest else np.zeros((2, 0), np.uint64)
     linked = np.flatnonzero(label != np.arange(len(everything)))
     return np.stack([everything[linked], everything[label[linked]]])
 
 
-def near_links(fps: DataFrame, written: Written, k: int = 4, shard_rows: int = 2048, cell_rows: int = 8192, sample_rows: int = 16384) -> DataFrame:
+def near_links(fps: DataFrame, written: Written, k: int = 4, shard_rows: int = 2048, cell_rows: int = 8192, sample_rows: int = 16384, pairs: bool = False) -> DataFrame:
     """Links (u, v) between distinct fingerprints in column fp that join those within k bits.
 
     The trees are fitted on at most sample_rows fingerprints, but route every one.
@@ -164,14 +173,14 @@ def near_links(fps: DataFrame, written: Written, k: int = 4, shard_rows: int = 2
         _, kind, i, j = key
         x, home = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool)
         if kind == 2:
-            got = shard_links(x[home], x[~home], k)
+            got = shard_links(x[home], x[~home], k, pairs=pairs)
         elif kind == 1:
-            got = shard_links(x[home], x[~home], k, inside=False)
+            got = shard_links(x[home], x[~home], k, inside=False, pairs=pairs)
         elif i == j:
-            got = shard_links(x, x[:0], k)
+            got = shard_links(x, x[:0], k, pairs=pairs)
         else:
             first = pdf["piece"].to_numpy() == i
-            got = shard_links(x[first], x[~first], k, inside=False)
+            got = shard_links(x[first], x[~first], k, inside=False, pairs=pairs)
         return pd.DataFrame({"u": got[0].view(np.int64), "v": got[1].view(np.int64)})
 
     return dealt.select("shard", "cell.kind", "cell.i", "cell.j", "piece", "home", "fp").groupBy("shard", "kind", "i", "j").applyInPandas(compare, "u long, v long")
@@ -193,3 +202,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return own.join(classes, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Seeds of the word fingerprints that propose pairs; each catches what the others miss.
+SEEDS = (0, 1, 2, 3, 4)
+
+
+def word_fingerprints(text: bytes) -> np.ndarray:
+    """An unsigned fingerprint of a text's different words for each of SEEDS."""
+    import xxhash
+
+    words = set(text.lower().split())
+    out = np.zeros(len(SEEDS), np.uint64)
+    if not words:
+        return out
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    for i, seed in enumerate(SEEDS):
+        with np.errstate(over="ignore"):
+            mixed = (hashes ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(32)
+        ones = np.bincount((mixed.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        out[i] = int.from_bytes(np.packbits(2 * ones.ravel() > len(words), bitorder="little").tobytes(), "little")
+    return out
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of a text's different shingles, as signed numbers."""
+    import xxhash
+
+    words = text.lower().split()
+    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64).view(np.int64)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """(id, text_key, group_key, kept) for each row: groups linked by shingle sets of at least that Jaccard similarity.
+
+    Vantage-point trees over fingerprints of words, which an edit disturbs less than
+    shingles, propose pairs within k bits, under each of SEEDS; the sets of word shingles
+    of a proposed pair decide. Of each group the row of smallest id stays; equal texts are
+    one text (text_key is a 64-bit hash), and texts without words link with each other only.
+    """
+    written = Written(docs.sparkSession)
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        many = texts(batch.column(2))
+        prints = np.array([word_fingerprints(t) for t in many], np.uint64).reshape(-1, len(SEEDS)).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x) for x in prints.T.copy())], names=["id", "text_key", *(f"fp{i}" for i in range(len(SEEDS)))])
+
+    schema = f"id {id_type(docs, id_col)}, text_key long, " + ", ".join(f"fp{i} long" for i in range(len(SEEDS)))
+    own = written(map_slices(docs.select(F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col)), 2, schema, run))
+    proposed = None
+    for i in range(len(SEEDS)):
+        heads = written(own.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("text_key").alias("head")))
+        same = own.select("text_key", F.col(f"fp{i}").alias("fp")).join(heads, "fp").select(F.col("text_key").alias("u"), F.col("head").alias("v"))
+        near = written(near_links(heads, written, k, pairs=True))
+        across = near.join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+        found = same.union(across).where("u <> v")
+        proposed = found if proposed is None else proposed.union(found)
+    pairs = written(proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
+    some = docs.select(key.alias("text_key"), F.col(text_col).alias("text")).join(nodes, "text_key", "left_semi")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width) for t in texts(batch.column(1))], pa.list_(pa.int64()))], names=["text_key", "grams"])
+
+    grams = written(map_slices(some, 1, "text_key long, grams array<long>", sets).dropDuplicates(["text_key"]))
+    both = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
+    shared, union = F.size(F.array_intersect("gu", "gv")), F.size("gu") + F.size("gv")
+    links = both.where(((union - shared) * similarity <= shared)).select("u", "v")
+    roots = connected_components(links, written).toDF("text_key", "root")
+    grouped = own.select("id", "text_key").join(roots, "text_key", "left").select("id", "text_key", F.coalesce("root", "text_key").alias("group_key"))
+    grouped = written(grouped)
+    stay = written(grouped.groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")))
+    return grouped.join(stay, "group_key").select("id", "text_key", "group_key", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each group of similar texts, all columns kept; a row that repeats the one that stays, id and text, stays once."""
+    written = Written(docs.sparkSession)
+    found = written(similar_groups(docs, id_col, text_col, **how).where("kept"))
+    mine = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    chosen = found.select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
+    out = mine.join(chosen, mine[id_col].eqNullSafe(chosen["__id"]) & (mine["__key"] == chosen["__text"]), "left_semi")
+    if found.groupBy("id", "text_key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "__key"])
+    return out.drop("__key")
