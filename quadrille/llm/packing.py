@@ -9,63 +9,124 @@ solution is dealt to documents by their rank in their class; the few that roundi
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, id_type, map_slices, texts
+from .common import Written, id_type, map_slices
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of a pool one after another, and where each begins and the last ends."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])], ends
 
 
 class WordEncoder:
-    """Ids of whole texts, for a tokenizer that splits at white space anyway: each different word is encoded once.
+    """Ids of whole texts under a BPE with word ends, whose file splits at white space and lowers case.
 
-    The table of words is started anew beyond most entries; that changes no result.
+    Each different word of a slice of texts is encoded once, and words that differ only in a
+    last comma or stop count as one. Words are cut as the file's own pattern cuts
+    them, and their pieces merged by the model alone; words for which that cut isn't plainly the same
+    (marks of other scripts, control characters, special tokens) go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in got]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.uint32)
-        n, m = len(self.place), len(words)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.start[n : n + m], self.size[n : n + m] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(flat)
-        self.place.update(zip(words, range(n, n + m)))
-
-    def encode(self, all_texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        split = [t.split() for t in all_texts]
-        words = [w for x in split for w in x]
-        if len(self.place) > self.most:
-            self.clear()
-        if new := list(set(words).difference(self.place)):
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.start[at] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)]
-        return ids, np.diff(bounds)
+    CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has a core; threads only cost memory
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.whole.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        rest = iter(range(256, 512))
+        self.letter = {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+        self.marks = [np.array(self.whole.encode(x, add_special_tokens=False).ids, np.uint32) for x in ("", ",", ".")]
+
+    def cut(self, word: str) -> list[str] | None:
+        """The pieces of a word in lower case, as bytes' letters; None if only the whole tokenizer can tell."""
+        if word.isascii():
+            return self.CUT.findall(word) if word.isprintable() and "<|" not in word else None
+        tail = ""
+        if word[-1] in ",.;:!?":
+            word, tail = word[:-1], word[-1]
+        if word.isalpha() and word.lower() == word and unicodedata.is_normalized("NFC", word):
+            own = word.encode().decode("latin-1").translate(self.letter)
+            return [own, tail] if tail else [own]
+        return None
+
+    def merged(self, lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of n pieces, several a line with spaces between, and how many each has."""
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        got = self.bare.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+        ends = np.flatnonzero(self.final[ids]) + 1
+        if len(ends) != n:
+            raise ValueError("a word of this vocabulary does not end in a final piece")
+        return ids, np.diff(ends, prepend=0)
+
+    def others(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that are not plain ASCII letters."""
+        cuts = [self.cut(w) if w else [] for w in words]
+        pieces = list({p for x in cuts if x for p in x})
+        ids, sizes = self.merged([" ".join(pieces[i : i + 256]) for i in range(0, len(pieces), 256)], len(pieces))
+        hard = [w for w, x in zip(words, cuts) if x is None]
+        lists = [e.ids for a in range(0, len(hard), 1000) for e in self.whole.encode_batch_fast(hard[a : a + 1000], add_special_tokens=False)]
+        place = dict(zip(pieces, range(len(pieces))))
+        nth = iter(range(len(pieces), len(pieces) + len(hard)))
+        parts = [[next(nth)] if x is None else [place[p] for p in x] for x in cuts]
+        ids = np.concatenate([ids, np.array([i for x in lists for i in x], np.uint32)])
+        sizes = np.concatenate([sizes, np.array([len(x) for x in lists], np.int64)])
+        at = np.array([i for x in parts for i in x], np.int64)
+        out, ends = _gather(ids, (np.cumsum(sizes) - sizes)[at], sizes[at])
+        return out, np.diff(ends[np.cumsum([0, *map(len, parts)])])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column, one after another, and how many each has."""
+        column = pc.fill_null(column, "")
+        if not pc.any(pc.match_substring(column, "<|")).as_py():
+            column = pc.ascii_lower(column)  # else a special token could come of capitals
+        lists = pc.ascii_split_whitespace(column)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
+        core = pc.ascii_rtrim(words, characters=",.")
+        one = pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(core)), 1)
+        tailed = pc.and_(one, pc.ascii_is_alpha(core))
+        mark = np.where(tailed.to_numpy(zero_copy_only=False), np.where(pc.ends_with(words, ",").to_numpy(zero_copy_only=False), 1, 2), 0)
+        cores = pc.if_else(tailed, core, words).dictionary_encode()
+        kinds = cores.dictionary
+        plain = pc.ascii_is_alpha(kinds)
+        easy = kinds.filter(plain)
+        bounds = [*range(0, len(easy), 256), len(easy)]
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), easy), " ").to_pylist() if len(easy) else []
+        ids, sizes = self.merged(lines, len(easy))
+        more, counts = self.others(kinds.filter(pc.invert(plain)).to_pylist())
+        pool = np.concatenate([ids, more, *self.marks])
+        all_sizes = np.concatenate([sizes, counts, [len(x) for x in self.marks]]).astype(np.int64)
+        starts = np.cumsum(all_sizes) - all_sizes
+        order = np.empty(len(kinds), np.int64)  # of kinds among plain ones and then others
+        easy_at = plain.to_numpy(zero_copy_only=False)
+        order[easy_at], order[~easy_at] = np.arange(len(easy)), np.arange(len(easy), len(kinds))
+        pairs = np.stack([order[cores.indices.to_numpy()], len(kinds) + mark], axis=1).ravel()
+        pool, ends = _gather(pool, starts[pairs], all_sizes[pairs])
+        at = coded.indices.to_numpy()
+        ids, ends = _gather(pool, ends[:-1:2][at], (ends[2::2] - ends[:-1:2])[at])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -78,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = WordEncoder(tokenizer)
         encoder = _ENCODERS[tokenizer]
-        ids, counts = encoder.encode(texts(batch.column(1)))
+        ids, counts = encoder.encode(batch.column(1))
         tail = np.array([end_id], np.uint32)
         row, start, length, crc, total, kept, at = [], [], [], [], [], [], 0
         for k, n in enumerate(counts.tolist()):
@@ -101,7 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, capacity
         return pa.RecordBatch.from_arrays(out, names=names)
 
     schema = f"id {id_type(docs, id_col)}, start long, length long, crc long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return map_slices(docs.select(id_col, text_col), 1, schema, run)
+    return map_slices(docs.select(id_col, text_col), 1, schema, run, slice_bytes=8 << 20)
 
 
 def best_pattern(price: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
