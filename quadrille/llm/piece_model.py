@@ -3,7 +3,7 @@
 The model file is read by its protobuf wire format; normaliser, metaspace marker,
 scores (as unigram scores, or as merge ranks of a BPE model) and byte fallback are
 rebuilt as a tokenizers pipeline. A text is cut before each run of spaces, which no
-piece crosses; each different part of a batch is then encoded once, by encode_batch's threads.
+piece crosses; each different part of a batch is then encoded once, by the batch encoder's threads.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,60 +102,102 @@ def rebuild(model: dict):
     return tokenizer
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of a pool, one after another."""
+    ends = np.cumsum(size)
+    return pool[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Codec:
     """Encodes and decodes texts; checks every different part against the sentencepiece library if told to."""
 
-    def __init__(self, data: bytes, verify: bool = True, most: int = 200_000):
-        self.model, self.most = parse(data), most
+    #: parts that are encoded as one line: their ids are told apart by the marker that begins each
+    LINE = 256
+
+    def __init__(self, data: bytes, verify: bool = True):
+        self.model = parse(data)
         self.tokenizer = rebuild(self.model)
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in self.model["pieces"] if t in (NORMAL, USER, UNUSED))
-        #: parts may be encoded alone if white space is kept and no piece crosses its left edge
+        pieces = self.model["pieces"]
+        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, t in pieces if t in (NORMAL, USER, UNUSED))
+        #: parts may be encoded apart if white space is kept and no piece crosses their left edges
         self.by_part = self.tokenizer.token_to_id(MARK) is not None and not crossing and not self.model["charsmap"] and not self.model["trim"] and self.model["dummy_prefix"]
+        self.first = np.array([p.startswith(MARK) for p, *_ in pieces])
+        shown = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in pieces]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(x) for x in shown], np.int64)
+        self.shown_start = np.cumsum(self.shown_size) - self.shown_size
+        self.plain = np.array([t not in (UNKNOWN, CONTROL) for *_, t in pieces])
         self.other = None
         if verify:
             import sentencepiece
 
             self.other = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.clear()
-
-    def clear(self) -> None:
-        #: parts without their first space; the empty one is a lone space at a text's end
-        self.place: dict[str, int] = {"": 0}
-        self.lists: list[np.ndarray] = [np.array([i for i in [self.tokenizer.token_to_id(MARK)] if i is not None], np.int32)]
-        self.same: list[bool] = [True]
-
-    def _parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if not self.by_part or MARK in text:
-            return [text]
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [p[1:] for p in re.findall(" +[^ ]+| +$", " " + text)]
-        return text.split(" ")
-
-    def encode(self, many: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether sentencepiece gives the same (true where it isn't asked)."""
-        if len(self.place) > self.most:
-            self.clear()
-        cut = [self._parts(t) for t in many]
-        new = list({p for x in cut for p in x}.difference(self.place))
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            want = self.other.encode(new) if self.other else got
-            for p, a, b in zip(new, got, want):
-                self.place[p] = len(self.lists)
-                self.lists.append(np.array(a, np.int32))
-                self.same.append(a == b)
-        none = np.zeros(0, np.int32)
-        ids, same = [], []
-        for x in cut:
-            at = [self.place[p] for p in x]
-            ids.append(np.concatenate([self.lists[i] for i in at]) if at else none)
-            same.append(all(self.same[i] for i in at))
-        return ids, same
-
-    def decode(self, many: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in many], skip_special_tokens=False)
+
+    def _whole(self, many: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+        same = [a == b for a, b in zip(lists, self.other.encode(many))] if self.other else [True] * len(many)
+        return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64), np.array(same, bool)
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of each part, none of which is empty or has a space."""
+        bounds = [*range(0, len(parts), self.LINE), len(parts)]
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), parts), " ").to_pylist()
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) != len(parts):
+            return self._whole(parts.to_pylist())
+        same = np.ones(len(parts), bool)
+        if self.other:
+            want = np.concatenate([np.array(x, np.uint32) for x in self.other.encode(lines)])
+            if not np.array_equal(ids, want):
+                return self._whole(parts.to_pylist())
+        return ids, np.diff(starts, append=len(ids)), same
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column, one after another, how many each has, and whether sentencepiece gives the same (true where it isn't asked)."""
+        column = pc.fill_null(column, "")
+        n = len(column)
+        easy = pc.match_substring_regex(column, f"^ | $|  |{MARK}|^$") if self.by_part else pa.array([True] * n)
+        easy = ~easy.to_numpy(zero_copy_only=False)
+        counts, same = np.zeros(n, np.int64), np.ones(n, bool)
+        pools = []
+        if easy.any():
+            lists = pc.split_pattern(column.filter(pa.array(easy)), " ")
+            coded = lists.flatten().dictionary_encode()
+            ids, sizes, agree = self._parts(coded.dictionary)
+            at = coded.indices.to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+            pools.append(_gather(ids, (np.cumsum(sizes) - sizes)[at], sizes[at]))
+            counts[easy] = np.diff(np.concatenate([[0], np.cumsum(sizes[at])])[bounds])
+            same[easy] = np.diff(np.concatenate([[0], np.cumsum(~agree[at])])[bounds]) == 0
+        if not easy.all():
+            ids, counts[~easy], same[~easy] = self._whole(column.filter(pa.array(~easy)).to_pylist())
+            pools.append(ids)
+        if easy.all() or not easy.any():
+            return pools[0] if pools else np.zeros(0, np.uint32), counts, same
+        order = np.concatenate([np.flatnonzero(easy), np.flatnonzero(~easy)])
+        starts = np.empty(n, np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return _gather(np.concatenate(pools), starts, counts), counts, same
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts of ids, in UTF-8; bytes that are no UTF-8 become replacement characters."""
+        out, ends = [], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            own = ids[a:b]
+            if len(own) and not self.plain[own].all():
+                out.append(self.tokenizer.decode(own.tolist(), skip_special_tokens=False).encode())
+                continue
+            sizes = self.shown_size[own]
+            text = _gather(self.shown, self.shown_start[own], sizes).tobytes()
+            if self.model["dummy_prefix"] and text[:1] == b" ":
+                text = text[1:]
+            try:
+                text.decode()
+            except UnicodeDecodeError:
+                text = self.tokenizer.decode(own.tolist(), skip_special_tokens=False).encode()
+            out.append(text)
+        return out
 
 
 _CODECS: dict[tuple[str, bool], Codec] = {}
@@ -171,8 +214,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """(id_col, ids, parity): the model's ids of each whole text; a null text has none. path is a file that every executor has."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, same = _codec(path, verify).encode([t.decode() for t in texts(batch.column(1))])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], names=[id_col, "ids", "parity"])
+        ids, counts, same = _codec(path, verify).encode(batch.column(1))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(same)], names=[id_col, "ids", "parity"])
 
     return map_slices(docs.select(id_col, text_col), 1, f"`{id_col}` {id_type(docs, id_col)}, ids array<int>, parity boolean", run)
 
@@ -184,8 +228,9 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                many = [np.array(x or [], np.int32) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_codec(path, False).decode(many), pa.string())], names=[id_col, "text"])
+                many = [np.array(x or [], np.int64) for x in part.column(1).to_pylist()]
+                found = _codec(path, False).decode(np.concatenate(many), np.array([len(x) for x in many]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.decode() for t in found], pa.string())], names=[id_col, "text"])
 
     return rows.select(id_col, F.col(ids_col).alias("ids")).mapInArrow(run, f"`{id_col}` {id_type(rows, id_col)}, text string")
 
@@ -195,18 +240,19 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codec, raw = _codec(path, True), texts(batch.column(1))
-        ids, same = codec.encode([t.decode() for t in raw])
-        back = [t.encode() for t in codec.decode(ids)]
+        ids, counts, same = codec.encode(batch.column(1))
+        back, ends = codec.decode(ids, counts), np.cumsum(counts)
+        little = ids.astype("<u4")
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                pa.array(counts),
+                pa.array([zlib.crc32(little[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist())], pa.int64()),
                 pa.array(same),
-                pa.array([hashlib.sha256(t).hexdigest() for t in back]),
-                pa.array([a == b for a, b in zip(raw, back)]),
+                pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()),
+                pa.array([a == b for a, b in zip(raw, back)], pa.bool_()),
             ],
             names=[id_col, "n_tokens", "ids_crc32", "parity", "decoded_sha256", "round_trip"],
         )
 
-    return map_slices(docs.select(id_col, text_col), 1, f"`{id_col}` {id_type(docs, id_col)}, n_tokens long, ids_crc32 long, parity boolean, decoded_sha256 string, round_trip boolean", run)
+    return map_slices(docs.select(id_col, text_col), 1, f"`{id_col}` {id_type(docs, id_col)}, n_tokens long, ids_crc32 long, parity boolean, decoded_sha256 string, round_trip boolean", run, slice_bytes=12 << 20)

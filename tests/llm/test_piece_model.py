@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 
 from quadrille.llm import piece_model
@@ -26,10 +27,16 @@ def test_parity_of_whole_texts():
     assert codec.by_part
     rng = random.Random(4)
     many = TEXTS + ["".join(rng.choice("abcdeétion  \n▁.漢") for _ in range(rng.randint(1, 80))) for _ in range(2000)]
-    ids, same = codec.encode(many)
-    for t, x, s in zip(many, ids, same):
+    ids, counts, same = codec.encode(pa.array(many))
+    for t, x, s in zip(many, np.split(ids, np.cumsum(counts)[:-1]), same):
         assert x.tolist() == sp.encode(t) and s
-    assert [b for b, t in zip(codec.decode(ids), many) if b != sp.decode(sp.encode(t))] == []
+    back = codec.decode(ids, counts)
+    assert [b for b, t in zip(back, many) if b.decode() != sp.decode(sp.encode(t))] == []
+    lists = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert [b.decode() for b in back] == codec.tokenizer.decode_batch(lists, skip_special_tokens=False)
+    # bytes that are no UTF-8, as the library shows them
+    odd = np.array([sp.piece_to_id("<0xE6>"), sp.piece_to_id("▁the")])
+    assert codec.decode(odd, np.array([2]))[0].decode() == codec.tokenizer.decode(odd.tolist(), skip_special_tokens=False)
 
 
 def test_unigram_model():
@@ -54,9 +61,9 @@ def test_unigram_model():
     out.write(data)
     codec, sp = piece_model.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
     many = ["the lazy fox", "thequick zz é", " boxes  jump\n", ""]
-    ids, same = codec.encode(many)
-    assert [x.tolist() for x in ids] == [sp.encode(t) for t in many] and all(same)
-    assert codec.decode(ids) == [sp.decode(sp.encode(t)) for t in many]
+    ids, counts, same = codec.encode(pa.array(many))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [sp.encode(t) for t in many] and all(same)
+    assert [t.decode() for t in codec.decode(ids, counts)] == [sp.decode(sp.encode(t)) for t in many]
 
 
 def test_rows(spark):
