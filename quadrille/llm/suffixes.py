@@ -1,12 +1,14 @@
 """Exact substring deduplication: what earlier text already says, in strings of a fixed length.
 
-A string of 100 bytes is told by its anchor: the leftmost least hash of a 24-byte gram
+A string of 100 bytes is told by its anchor: the leftmost least hash of a 32-byte gram
 inside it. Equal strings have equal anchors, so strings whose anchors are unique in the corpus
 are unique. An occurrence of a repeated anchor stands for the run of strings it anchors; whole
-runs that are equal are settled by their first occurrence. Only where different runs
-share an anchor are strings compared one by one: tasks sort the suffixes that begin with
-them, exchange the runs front-coded (the length of the prefix that a suffix shares with the one
-before it, and the rest), and merge each range with a loser tree that knows these lengths and never compares a known prefix again.
+runs that are equal are settled by their first occurrence. Where different runs share an
+anchor, tasks sort the suffixes that begin at their anchors, exchange them as front-coded runs (the
+length of the prefix that a suffix shares with the one before it, and the rest), and merge
+each range with a loser tree that knows these lengths and never compares a known prefix again.
+Strings are equal if their suffixes share enough and so do the bytes before the anchors. An anchor
+with very many different runs has its strings sorted one by one instead, over all ranges.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import Written, map_slices, texts
 
-GRAM = 24
+GRAM = 32
+#: Different runs of one anchor beyond which its strings are dealt out one by one.
+CROWD = 20_000
 _TABLE = np.random.Generator(np.random.PCG64(100)).integers(0, 2**64, 256, dtype=np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15], np.uint64)[0]
 _LAST = 2**63 - 1
@@ -85,7 +89,7 @@ def _laid(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, run, k, at) of each run of strings of docs (k, tid, text). at packs the first string's place, how many follow, and tid."""
+    """(gram, run, k, at) of each run of strings of docs (k, tid, text). at packs the first string's place, how far the anchor is from it, how many strings follow, and tid."""
     import xxhash
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,7 +100,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
         digest = xxhash.xxh3_64_intdigest
         seen = np.fromiter((digest(joined[a:b], c) for a, b, c in zip(lo.tolist(), (hi + length).tolist(), (place - lo).tolist())), np.uint64, len(lo))
         k, tid = batch.column(0).to_numpy()[row], batch.column(1).to_numpy().astype(np.int64)[row]
-        at = (lo - begin) << 24 | (hi - lo) << 16 | tid
+        at = (lo - begin) << 32 | (place - lo) << 24 | (hi - lo) << 16 | tid
         return pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(seen.view(np.int64)), pa.array(k), pa.array(at)], names=["gram", "run", "k", "at"])
 
     return map_slices(docs, 2, "gram long, run long, k long, at long", run, slice_bytes=1 << 20)
@@ -116,50 +120,63 @@ def grams(docs: DataFrame, length: int) -> DataFrame:
 # --- the distributed merge sort ---
 
 
-def front_code(strings: list[bytes], ks: np.ndarray, starts: np.ndarray) -> dict:
-    """A sorted run of different strings: shared prefix lengths, the rest of each string, and where each occurs first."""
-    length = len(strings[0])
-    table = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, length)
-    shared = np.concatenate([[0], (table[1:] != table[:-1]).argmax(1)]).astype(np.uint8)
-    rest = b"".join(t[n:] for t, n in zip(strings, shared.tolist()))
-    return {"shared": shared.tobytes(), "rest": rest, "ks": ks.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes()}
+def front_code(strings: list[bytes], ks: np.ndarray, starts: np.ndarray, befores: list[bytes] | None = None) -> dict:
+    """A sorted run of strings: shared prefix lengths, the rest of each string, where each begins, and the bytes before it."""
+    shared, sizes, rest, last = bytearray(), bytearray(), [], b""
+    for t in strings:
+        n = _against(last, t, 0)[1]
+        shared.append(n)
+        sizes.append(len(t) - n)
+        rest.append(t[n:])
+        last = t
+    befores = befores or []
+    return {
+        "shared": bytes(shared), "sizes": bytes(sizes), "rest": b"".join(rest), "ks": ks.astype(np.int64).tobytes(), "starts": starts.astype(np.int64).tobytes(),
+        "before_sizes": bytes(map(len, befores)), "befores": b"".join(befores),
+    }
 
 
-def _decoded(run: dict, length: int) -> Iterator[tuple[bytes, int, int, int]]:
-    """(string, prefix shared with the one before, k, start) of a run."""
-    last, at, rest = b"", 0, run["rest"]
-    for n, k, start in zip(run["shared"], np.frombuffer(run["ks"], np.int64).tolist(), np.frombuffer(run["starts"], np.int64).tolist()):
-        last = last[:n] + rest[at : at + length - n]
-        at += length - n
-        yield last, n, k, start
+RUN = ("shared", "sizes", "rest", "ks", "starts", "before_sizes", "befores")
+
+
+def _decoded(run: dict) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """(string, prefix shared with the one before, k, start, bytes before it) of a run."""
+    last, at, left, rest, befores = b"", 0, 0, run["rest"], run["befores"]
+    before_sizes = run["before_sizes"] or bytes(len(run["shared"]))
+    for n, m, k, start, size in zip(run["shared"], run["sizes"], np.frombuffer(run["ks"], np.int64).tolist(), np.frombuffer(run["starts"], np.int64).tolist(), before_sizes):
+        last = last[:n] + rest[at : at + m]
+        at += m
+        yield last, n, k, start, befores[left : left + size]
+        left += size
 
 
 def _against(a: bytes, b: bytes, known: int) -> tuple[bool, int]:
     """Whether a comes before b (or equals it), and how long a prefix they share, given that they share `known`."""
     x, y = a[known:], b[known:]
-    if x == y:
-        return True, len(a)
-    differ = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
-    return x < y, known + len(x) - (differ.bit_length() + 7) // 8
+    n = min(len(x), len(y))
+    if x[:n] == y[:n]:
+        return len(x) <= len(y), known + n
+    differ = int.from_bytes(x[:n], "big") ^ int.from_bytes(y[:n], "big")
+    return x < y, known + n - (differ.bit_length() + 7) // 8
 
 
-def merge(runs_: list[dict], length: int) -> Iterator[tuple[int, int, int]]:
-    """(prefix shared with the string before, k, start) of the strings of all runs in order.
+def merge(runs_: list[dict]) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """(string, prefix shared with the one before, k, start, bytes before it) of all runs in order; equal strings by k and start.
 
     A loser tree. Each loser keeps the prefix it shares with the winner that beat it.
     The next candidate knows, from its run's coding, what it shares with the last winner,
     so a longer known prefix wins without a look at a byte, and equal ones are compared from there on.
     """
-    sources = [_decoded(r, length) for r in runs_]
+    sources = [_decoded(r) for r in runs_]
     m = 1
     while m < len(sources):
         m *= 2
-    heads: list[tuple[bytes, int, int] | None] = [None] * m
+    heads: list[tuple | None] = [None] * m
     known = [0] * m  # what each head shares with the last string out
 
     def advance(i: int) -> None:
         got = next(sources[i], None) if i < len(sources) else None
-        heads[i], known[i] = (None, -1) if got is None else ((got[0], got[2], got[3]), got[1])
+        heads[i], known[i] = (None, -1) if got is None else (got, got[1])
 
     def beats(i: int, j: int) -> bool:
         """Whether head i goes before head j; sets what the loser shares with the winner."""
@@ -168,8 +185,8 @@ def merge(runs_: list[dict], length: int) -> Iterator[tuple[int, int, int]]:
         if known[i] != known[j]:
             return known[i] > known[j]  # the loser's stays true of the new winner
         first, shared = _against(heads[i][0], heads[j][0], known[i])
-        if shared == length and heads[i][1:] > heads[j][1:]:
-            first = False  # equal strings: the earlier occurrence first
+        if shared == len(heads[i][0]) == len(heads[j][0]):
+            first = heads[i][2:4] <= heads[j][2:4]
         known[j if first else i] = shared
         return first
 
@@ -189,8 +206,8 @@ def merge(runs_: list[dict], length: int) -> Iterator[tuple[int, int, int]]:
 
     winner = play(1) if m > 1 else 0
     while heads[winner] is not None:
-        _, k, start = heads[winner]
-        yield known[winner], k, start
+        string, _, k, start, before = heads[winner]
+        yield string, known[winner], k, start, before
         advance(winner)
         node = (winner + m) // 2
         while node:
@@ -199,6 +216,17 @@ def merge(runs_: list[dict], length: int) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
+RUN_SCHEMA = "range int, " + ", ".join(f"{c} binary" for c in RUN)
+
+
+def _run_rows(out: list[tuple[int, dict]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), *(pa.array([x[c] for _, x in out], pa.binary()) for c in RUN)], names=["range", *RUN])
+
+
+def _runs_of(pdf: pd.DataFrame) -> list[dict]:
+    return [{c: bytes(v) for c, v in r.items()} for r in pdf[list(RUN)].to_dict("records")]
+
+
 def _sorted_runs(batches, length: int, cuts: list[bytes], most: int):
     """Front-coded runs by range, of at most `most` suffixes each, and the repeats found on the way."""
     from bisect import bisect_left
@@ -219,18 +247,17 @@ def _sorted_runs(batches, length: int, cuts: list[bytes], most: int):
                 where.append(i)
         bounds = [0, *(bisect_left(own, c) for c in cuts), len(own)]
         k, start = np.array(ks, np.int64), np.array(starts, np.int64)
-        out = [(-1, {"shared": b"", "rest": b"", "ks": k[again].tobytes(), "starts": start[again].tobytes()})] if again else []
+        out = [(-1, dict.fromkeys(RUN, b"") | {"ks": k[again].tobytes(), "starts": start[again].tobytes()})] if again else []
         for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
             if b > a:
                 out.append((r, front_code(own[a:b], k[where[a:b]], start[where[a:b]])))
         strings.clear(), ks.clear(), starts.clear()
-        names = ("shared", "rest", "ks", "starts")
-        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int32()), *(pa.array([x[c] for _, x in out], pa.binary()) for c in names)], names=["range", *names])
+        return _run_rows(out)
 
     for batch in batches:
         for k, tid, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist()):
             for at in sorted(set(own)):
-                lo, more = at >> 24, at >> 16 & 255
+                lo, more = at >> 32, at >> 16 & 255
                 for i in range(lo, lo + more + 1):
                     strings.append(raw[i : i + length])
                     ks.append(k)
@@ -247,7 +274,7 @@ def repeated_strings(reps: DataFrame, length: int, written: Written, most: int =
 
     def first(batches):
         for batch in batches:
-            found = [t[a >> 24 :][:length] for t, a in zip(texts(batch.column(0)), batch.column(1).to_pylist())]
+            found = [t[a >> 32 :][:length] for t, a in zip(texts(batch.column(0)), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["s"])
 
     # splitters: a bounded sample of the runs' first strings
@@ -255,11 +282,11 @@ def repeated_strings(reps: DataFrame, length: int, written: Written, most: int =
     total = reps.agg(F.sum(F.expr("aggregate(ats, 0L, (a, x) -> a + (shiftright(x, 16) & 255) + 1)"))).first()[0] or 0
     ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most)))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-    table = written(reps.mapInArrow(lambda batches: _sorted_runs(batches, length, cuts, most), "range int, shared binary, rest binary, ks binary, starts binary"))
+    table = written(reps.mapInArrow(lambda batches: _sorted_runs(batches, length, cuts, most), RUN_SCHEMA))
 
     def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ks, starts, first = [], [], None
-        for shared, k, start in merge([{c: bytes(v) for c, v in r.items()} for r in pdf[["shared", "rest", "ks", "starts"]].to_dict("records")], length):
+        for _, shared, k, start, _ in merge(_runs_of(pdf)):
             if shared == length:
                 if (k, start >> 16) != first:
                     ks.append(k)
@@ -278,7 +305,88 @@ def repeated_strings(reps: DataFrame, length: int, written: Written, most: int =
     return across.union(within).select("k", F.shiftright("at", 16).alias("start"), F.col("at").bitwiseAND(65535).cast("int").alias("tid"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def _shared_strings(items: list[tuple[bytes, int, int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(k, tid, from, to) of the bytes that repeat earlier ones, among suffixes of one anchor in their order.
+
+    An item's string begins at its anchor, its start packs place, strings that follow the first, and tid; before it are the bytes from its first string on.
+    """
+    most = max(len(b) for *_, b in items)
+    need = length - np.arange(most + 1)  # bytes that strings with so many before the anchor need of the suffix
+    shared = np.array([n for _, n, *_ in items])
+    shared[0] = 0
+    block = np.cumsum(shared[:, None] < need[None, :], axis=0).tolist()
+    seen: dict[tuple, tuple[int, int]] = {}
+    places = [((start >> 24), start >> 16 & 255, start & 65535) for *_, start, _ in items]
+    for i in sorted(range(len(items)), key=lambda i: (items[i][2], places[i][0])):
+        _, _, k, _, before = items[i]
+        at, more, tid = places[i]
+        own, begin, end = block[i], -1, -1
+        for e in range(len(before), len(before) - more - 1, -1):  # so many bytes before the anchor
+            key = (e, own[e], before[len(before) - e :])
+            first = seen.setdefault(key, (k, at - e))
+            if first != (k, at - e):
+                if at - e > end:
+                    if end >= 0:
+                        yield k, tid, begin, end
+                    begin = at - e
+                end = at - e + length
+        if end >= 0:
+            yield k, tid, begin, end
+
+
+def repeated_segments(reps: DataFrame, length: int, written: Written, most: int = 100_000) -> DataFrame:
+    """(k, tid, a, b): the bytes that repeat earlier strings, for runs of docs (k, tid, text, ats) that share their anchors."""
+    spark = reps.sparkSession
+
+    def suffixes(batches):
+        for batch in batches:
+            ks, starts, befores, strings = [], [], [], []
+            for k, tid, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist()):
+                for at in own:
+                    lo, off, more = at >> 32, at >> 24 & 255, at >> 16 & 255
+                    ks.append(k)
+                    starts.append((lo + off) << 24 | more << 16 | tid)
+                    befores.append(raw[lo : lo + off])
+                    strings.append(raw[lo + off : lo + more + length])
+            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(starts, pa.int64()), pa.array(befores, pa.binary()), pa.array(strings, pa.binary())], names=["k", "start", "before", "string"])
+
+    table = written(reps.mapInArrow(suffixes, "k long, start long, before binary, string binary"))
+    written.release()
+    total = table.count()
+    # splitters: grams of a bounded sample, so that suffixes of one anchor stay together
+    sample = table.select(F.substring("string", 1, GRAM).alias("s")).orderBy(F.xxhash64("s"), "s").limit(4000).collect()
+    keys = sorted({bytes(r.s) for r in sample})
+    ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most)))
+    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
+
+    def sort(batches):
+        from bisect import bisect_left
+
+        for batch in batches:
+            ks, starts = (batch.column(i).to_numpy() for i in (0, 1))
+            befores, strings = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            order = sorted(range(len(strings)), key=lambda i: (strings[i], ks[i], starts[i]))
+            own, left = [strings[i] for i in order], [befores[i] for i in order]
+            bounds = [0, *(bisect_left(own, c) for c in cuts), len(own)]
+            out = [(r, front_code(own[a:b], ks[order[a:b]], starts[order[a:b]], left[a:b])) for r, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+            if out:
+                yield _run_rows(out)
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found, group = [], []
+        for item in merge(_runs_of(pdf)):
+            if item[1] < GRAM and group:
+                found += _shared_strings(group, length)
+                group = []
+            group.append(item)
+        if group:
+            found += _shared_strings(group, length)
+        return pd.DataFrame(found, columns=["k", "tid", "a", "b"])
+
+    return table.mapInArrow(sort, RUN_SCHEMA).groupBy("range").applyInPandas(merged, "k long, tid int, a long, b long")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = CROWD) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row.
 
     A byte goes if a string of length bytes covers it that also starts earlier: in a row of
@@ -297,16 +405,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     written.release()
     firsts = written(found.groupBy("gram", "run").agg(F.min(F.struct("k", "at")).alias("first")))
     # runs that are equal: all but the first go whole
-    later = (F.col("k") > F.col("first.k")) | ((F.col("k") == F.col("first.k")) & (F.shiftright("at", 24) > F.shiftright("first.at", 24)))
-    place, more, tid = F.shiftright("at", 24), F.shiftright("at", 16).bitwiseAND(255), F.col("at").bitwiseAND(65535).cast("int")
+    later = (F.col("k") > F.col("first.k")) | ((F.col("k") == F.col("first.k")) & (F.shiftright("at", 32) > F.shiftright("first.at", 32)))
+    place, more, tid = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(255), F.col("at").bitwiseAND(65535).cast("int")
     whole = found.join(firsts, ["gram", "run"]).where(later).select("k", tid.alias("tid"), place.alias("a"), (place + more + length).alias("b"))
-    # runs that differ under one anchor: string by string
-    several = written(firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    reps = firsts.join(several, "gram", "left_semi").select("first.k", "first.at").select("k", "at", tid.alias("tid"))
-    by_text = reps.groupBy("k", "tid").agg(F.collect_set("at").alias("ats"))
-    with_text = written(own.join(by_text, ["k", "tid"]).select("k", "tid", "text", "ats").dropDuplicates(["k", "tid"]))
-    written.release()
-    single = repeated_strings(with_text, length, written).select("k", "tid", F.col("start").alias("a"), (F.col("start") + length).alias("b"))
+    several = written(firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
+    reps = firsts.join(several, "gram").select("first.k", "first.at", (F.col("n") > crowd).alias("crowded")).withColumn("tid", tid)
+
+    def with_text(some: DataFrame) -> DataFrame:
+        by_text = some.groupBy("k", "tid").agg(F.collect_set("at").alias("ats"))  # at most as many as the text has bytes
+        found = own.join(by_text, ["k", "tid"]).select("k", "tid", "text", "ats")
+        return found.dropDuplicates(["k", "tid"]) if repeated_ids else found
+
+    repeated_ids = docs.groupBy(k).count().where("count > 1").limit(1).count() > 0
+    single = repeated_segments(with_text(reps.where(~F.col("crowded"))), length, written)
+    if several.where(F.col("n") > crowd).limit(1).count():
+        crowded = repeated_strings(written(with_text(reps.where("crowded"))), length, written)
+        single = single.union(crowded.select("k", "tid", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
     spans = whole.union(single).groupBy("k", "tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most as many as the text has bytes
     spans = written(spans)
     written.release()

@@ -50,7 +50,7 @@ def corpus(seed):
 
 def test_rolled_equals_plain():
     x = np.random.default_rng(0).integers(0, 2**64, 60, dtype=np.uint64)
-    for n in (1, 2, 3, 5, 8, 24):
+    for n in (1, 2, 3, 5, 8, 24, 32):
         got = suffixes._rolled(x, n)
         for i in range(60 - n + 1):
             want = 0
@@ -61,7 +61,7 @@ def test_rolled_equals_plain():
 
 def test_merge_is_sorted_and_knows_prefixes():
     rng = random.Random(1)
-    pool = sorted({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(900)})
+    pool = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(3, 12))) for _ in range(1500)})
     runs, all_ = [], []
     for r in range(7):
         own = sorted(rng.sample(pool, 200))
@@ -69,18 +69,18 @@ def test_merge_is_sorted_and_knows_prefixes():
         runs.append(suffixes.front_code(own, ks, starts))
         all_ += list(zip(own, ks.tolist(), starts.tolist()))
     all_.sort()
-    got = list(suffixes.merge(runs, 12))
-    assert [(k, s) for _, k, s in got] == [(k, s) for _, k, s in all_]
-    for (a, *_), (b, *_), (n, *_) in zip(all_, all_[1:], got[1:]):
-        assert a[:n] == b[:n] and a[n : n + 1] != b[n : n + 1] or n == 12 and a == b
-    assert list(suffixes.merge([], 12)) == []
+    got = list(suffixes.merge(runs))
+    assert [(t, k, s) for t, _, k, s, _ in got] == all_
+    for (a, *_), (b, *_), (_, n, *_) in zip(all_, all_[1:], got[1:]):
+        assert a[:n] == b[:n] and (a[n : n + 1] != b[n : n + 1] or a == b)
+    assert list(suffixes.merge([])) == []
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, crowd", [(1, 20000), (2, 20000), (1, 2)])
+def test_equals_brute_force(spark, seed, crowd):
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as tid", "3 as kept").repartition(5)
-    got = suffixes.remove_repeats(df).collect()
+    got = suffixes.remove_repeats(df, crowd=crowd).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(plain(rows))
 
