@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -93,5 +94,15 @@ def map_slices(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def on_worker(spark: SparkSession, fn: Callable):
+    """fn's result, worked out in a task: Spark gives its Python workers one numeric thread, which a driver that has forked cannot count on."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fn())], pa.binary())], names=["result"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "result binary").first().result)
+
+
 def id_type(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column]

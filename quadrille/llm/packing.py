@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, id_type, map_slices
+from .common import Written, id_type, map_slices, on_worker
 
 
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +310,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     salted = own.withColumn("class", F.ceil(F.col("length") / unit).cast("int")).withColumn("salt", F.pmod(F.xxhash64("id", "start", "crc"), F.lit(1024)).cast("int"))
     counts = written(salted.groupBy("class", "salt").count())
     histogram = {r["class"]: r.n for r in counts.groupBy("class").agg(F.sum("count").alias("n")).collect()}  # a row a class
-    found = slots(plan(histogram, capacity // unit))
+    found = slots(on_worker(docs.sparkSession, lambda: plan(histogram, capacity // unit)))
     before = counts.select("class", "salt", (F.sum("count").over(Window.partitionBy("class").orderBy("salt")) - F.col("count")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("class", "salt").orderBy("length", "id", "start", "crc"))
     ranked = salted.withColumn("nth", nth).join(before, ["class", "salt"]).withColumn("rank", F.col("nth") - 1 + F.col("before")).drop("nth", "before", "salt")
