@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import Grid
+from ..model import RING, Grid
 
 
 def ring(*points: tuple[Column, Column]) -> Column:
@@ -99,7 +100,7 @@ def _points(r) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in r], float).reshape(-1, 2) if r is not None else np.zeros((0, 2))
 
 
-@F.pandas_udf("struct<hull_area:double,short:double,long:double,angle:double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("hull_area", "short", "long", "angle")]))
 def hull_measures(rings: pd.Series) -> pd.DataFrame:
     rows = []
     for r in rings:
@@ -245,7 +246,7 @@ def clip_convex(subject: np.ndarray, clipper: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 2)
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
+@F.pandas_udf(RING)
 def clip_ring(subject: pd.Series, clipper: pd.Series) -> pd.Series:
     """Rings clipped to convex rings; null without a common area."""
     out = []
