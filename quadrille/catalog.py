@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import raster, vector, zonal  # noqa: F401
+from .plans import learning, raster, vector, zonal  # noqa: F401
 from .plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -42,8 +42,8 @@ def stratified_fold(df: DataFrame, label: str, order: list[str], k: int, name: s
 
 
 def split(key: Column, test: float, validation: float) -> Column:
-    """'test', 'val' or 'train', by a hash of the key; validation is a share of what isn't test."""
-    u = F.crc32(key.cast("string").cast("binary")) / F.lit(4294967296.0)
+    """'test', 'val' or 'train', by a multiplicative hash of an integer key; validation is a share of what isn't test."""
+    u = F.pmod(F.pmod(key.cast("long"), F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32)) / F.lit(4294967296.0)
     return F.when(u < test, "test").when(u < test + (1 - test) * validation, "val").otherwise("train")
 
 
