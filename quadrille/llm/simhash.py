@@ -135,11 +135,12 @@ def shard_links(resident: np.ndarray, visitor: np.ndarray, k: int, inside: bool
 def near_links(fps: DataFrame, written: Written, k: int = 4, shard_rows: int = 2048, cell_rows: int = 8192, sample_rows: int = 16384, pairs: bool = False) -> DataFrame:
     """Links (u, v) between distinct fingerprints in column fp that join those within k bits.
 
-    The trees are fitted on at most sample_rows fingerprints, but route every one.
+    The trees are fitted on about sample_rows fingerprints, told by a hash, but route every one.
     A shard of more than cell_rows residents or visitors is compared cell by cell, in tasks of its own, so a dense cluster is no task's alone.
     """
     total = fps.count()
-    sample = np.array([x.fp for x in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+    some = fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(max(1, total // sample_rows))) == 0).select("fp").limit(2 * sample_rows)
+    sample = np.array(sorted(x.fp for x in some.collect()), np.int64).view(np.uint64)
     depth = max(0, min(13, int(np.ceil(np.log2(max(total, 1) / shard_rows)))))
     trees = [build_tree(block_of(sample, b), depth) for b in range(3)]
     r = k // 3

@@ -277,9 +277,10 @@ def repeated_strings(reps: DataFrame, length: int, written: Written, most: int =
             found = [t[a >> 32 :][:length] for t, a in zip(texts(batch.column(0)), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["s"])
 
-    # splitters: a bounded sample of the runs' first strings
-    keys = sorted({bytes(r.s) for r in reps.select("text", F.explode("ats").alias("at")).mapInArrow(first, "s binary").orderBy(F.xxhash64("s"), "s").limit(4000).collect()})
     total = reps.agg(F.sum(F.expr("aggregate(ats, 0L, (a, x) -> a + (shiftright(x, 16) & 255) + 1)"))).first()[0] or 0
+    # splitters: a bounded sample of the runs' first strings
+    own = reps.select("k", "text", F.explode("ats").alias("at")).where(F.pmod(F.xxhash64("k", "at"), F.lit(max(1, total // 40_000))) == 0)
+    keys = sorted({bytes(r.s) for r in own.select("text", "at").mapInArrow(first, "s binary").limit(8000).collect()})
     ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most)))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
     table = written(reps.mapInArrow(lambda batches: _sorted_runs(batches, length, cuts, most), RUN_SCHEMA))
@@ -354,7 +355,8 @@ def repeated_segments(reps: DataFrame, length: int, written: Written, most: int
     written.release()
     total = table.count()
     # splitters: grams of a bounded sample, so that suffixes of one anchor stay together
-    sample = table.select(F.substring("string", 1, GRAM).alias("s")).orderBy(F.xxhash64("s"), "s").limit(4000).collect()
+    some = table.where(F.pmod(F.xxhash64("string", "k"), F.lit(max(1, total // 4000))) == 0)
+    sample = some.select(F.substring("string", 1, GRAM).alias("s")).limit(8000).collect()
     keys = sorted({bytes(r.s) for r in sample})
     ranges = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // most)))
     cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
