@@ -255,13 +255,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = f"id {id_type(docs, id_col)}, text_key long, " + ", ".join(f"fp{i} long" for i in range(len(SEEDS)))
     own = written(map_slices(docs.select(F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col)), 2, schema, run))
-    proposed = None
-    for i in range(len(SEEDS)):
+    def propose(i: int) -> DataFrame:
         heads = written(own.groupBy(F.col(f"fp{i}").alias("fp")).agg(F.min("text_key").alias("head")))
         same = own.select("text_key", F.col(f"fp{i}").alias("fp")).join(heads, "fp").select(F.col("text_key").alias("u"), F.col("head").alias("v"))
         near = written(near_links(heads, written, k, pairs=True))
         across = near.join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
-        found = same.union(across).where("u <> v")
+        return written(same.union(across).where("u <> v").distinct())
+
+    proposed = None
+    for i in range(len(SEEDS)):
+        found = propose(i)
+        written.release()  # the seed's own plans are out of scope
         proposed = found if proposed is None else proposed.union(found)
     pairs = written(proposed.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).distinct()
@@ -271,10 +275,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width) for t in texts(batch.column(1))], pa.list_(pa.int64()))], names=["text_key", "grams"])
 
     grams = written(map_slices(some, 1, "text_key long, grams array<long>", sets).dropDuplicates(["text_key"]))
+    written.release()
     both = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
     shared, union = F.size(F.array_intersect("gu", "gv")), F.size("gu") + F.size("gv")
     links = both.where(((union - shared) * similarity <= shared)).select("u", "v")
     roots = connected_components(links, written).toDF("text_key", "root")
+    written.release()
     grouped = own.select("id", "text_key").join(roots, "text_key", "left").select("id", "text_key", F.coalesce("root", "text_key").alias("group_key"))
     grouped = written(grouped)
     stay = written(grouped.groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")))
