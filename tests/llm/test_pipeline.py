@@ -60,3 +60,40 @@ def test_stages(spark):
             assert len({r.text for r in rows}) == n
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in rows}
+
+
+def same_groups(spark, texts, **how):
+    rows = list(enumerate(texts))
+    got = {r.id: r.group_key for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    by, mine = {}, {}
+    for i, c in enumerate(plain_groups(rows)):
+        by.setdefault(c, set()).add(i)
+        mine.setdefault(got[i], set()).add(i)
+    assert sorted(map(sorted, by.values())) == sorted(map(sorted, mine.values()))
+    return len(by)
+
+
+def test_variants_of_one_text_that_are_far_from_each_other(spark):
+    rng = random.Random(4)
+    fresh = iter(range(10**6))
+    base = [f"b{i}" for i in range(250)]
+    variants = []
+    for _ in range(320):
+        copy = list(base)
+        for at in rng.sample(range(5, 245), 4):
+            copy[at] = f"x{next(fresh)}"
+        variants.append(" ".join(copy))
+    assert same_groups(spark, [*variants[:200], " ".join(base), *variants[200:]]) == 1
+    others = [" ".join(f"o{next(fresh)}" for _ in range(60)) for _ in range(20)]
+    assert same_groups(spark, [*variants, *others], hot=16, cell_rows=50) == len(others) + same_groups(spark, variants, hot=10**6)
+
+
+def test_appended_and_truncated_copies(spark):
+    rng = random.Random(6)
+    fresh = iter(range(10**6))
+    texts = []
+    for n in range(80, 400, 4):
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        more = [f"x{next(fresh)}" for _ in range(int(n * rng.uniform(0.1, 0.27)))]
+        texts += [" ".join(base), " ".join(base + more), " ".join(base[: int(n * rng.uniform(0.78, 0.9))])]
+    same_groups(spark, texts)
