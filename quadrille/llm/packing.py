@@ -35,7 +35,7 @@ class WordEncoder:
     Each different word of a slice of texts is encoded once, and words that differ only in a
     last comma or stop count as one. Words are cut as the file's own pattern cuts
     them, and their pieces merged by the model alone; words for which that cut isn't plainly the same
-    (marks of other scripts, control characters, special tokens) go through the whole tokenizer.
+    (marks of other scripts, control characters) and texts that may hold special tokens go through the whole tokenizer.
     """
 
     CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
@@ -97,8 +97,18 @@ class WordEncoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a string column, one after another, and how many each has."""
         column = pc.fill_null(column, "")
-        if not pc.any(pc.match_substring(column, "<|")).as_py():
-            column = pc.ascii_lower(column)  # else a special token could come of capitals
+        special = pc.match_substring(column, "<|")  # a special token could come of capitals: only the whole tokenizer can tell
+        if pc.any(special).as_py():
+            mine = special.to_numpy(zero_copy_only=False)
+            ids, counts = self.encode(column.filter(pc.invert(special)))
+            whole = column.filter(special).to_pylist()
+            lists = [np.array(e.ids, np.uint32) for a in range(0, len(whole), 100) for e in self.whole.encode_batch_fast(whole[a : a + 100], add_special_tokens=False)]
+            sizes, starts = np.empty(len(column), np.int64), np.empty(len(column), np.int64)
+            sizes[~mine], sizes[mine] = counts, [len(x) for x in lists]
+            starts[~mine] = np.cumsum(counts) - counts
+            starts[mine] = len(ids) + np.cumsum(sizes[mine]) - sizes[mine]
+            return _gather(np.concatenate([ids, *lists]), starts, sizes)[0], sizes
+        column = pc.ascii_lower(column)
         lists = pc.ascii_split_whitespace(column)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary

@@ -49,6 +49,16 @@ def test_pack(spark):
         packing.pack(df, PATH, capacity=2047)
 
 
+def test_capitals_beside_special_tokens():
+    import pyarrow as pa
+
+    rows = ["Hello The World, Straße", "Hello <|endoftext|> The World. <|ENDOFTEXT|>", "f <| x |> The", None, "The END", ""]
+    ids, counts = packing.WordEncoder(PATH).encode(pa.array(rows))
+    tok = Tokenizer.from_file(PATH)
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_repeated_rows(spark):
     rows = [(1, "a b c")] * 50 + [(None, "d")] * 3
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, keep_ids=True).collect()
