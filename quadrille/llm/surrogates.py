@@ -46,7 +46,8 @@ NUMBERS = re.compile(
     r")(?!\w)"
 )
 SECRETS = re.compile(r"(?<![A-Z0-9])(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Z0-9])|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_~-]{8,})")
-SECRET_HINTS = ("AKIA", "ASIA", "assw", "ASSW", "oken", "OKEN", "ecret", "ECRET", "pwd", "PWD", "pi_key", "PI_KEY", "pikey", "PIKEY", "piKey", "pi_Key", "piKEY")
+#: in lower case, one of them in whatever SECRETS finds
+SECRET_HINTS = ("akia", "asia", "password", "passwd", "pwd", "token", "secret", "apikey", "api_key")
 NAMES = re.compile(r"\b(?P<title>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.? (?P<name>[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+)?)")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -65,7 +66,8 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
-    if any(h in text for h in SECRET_HINTS):
+    low = text.lower().replace("ı", "i").replace("ſ", "s").replace("\u0307", "")  # letters that SECRETS takes for i and s
+    if any(h in low for h in SECRET_HINTS):
         found += [(*m.span(m.lastgroup), m.lastgroup) for m in SECRETS.finditer(text)]
     if _DIGIT.search(text):
         for m in NUMBERS.finditer(text):

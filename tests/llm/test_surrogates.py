@@ -15,6 +15,13 @@ def test_finds_and_leaves():
     assert not list(s.entities(CLEAN)) and not list(s.entities(""))
 
 
+def test_secrets_in_any_case():
+    for name in ("Pwd", "PassWord", "PASSWD", "APIKey", "API_Key", "aPiKeY", "ToKeN", "SeCret", "paſſword", "apİkey", "apıkey", "toKen"):
+        text = f"{name}=hunter22x9"
+        want = [m["secret"] for m in s.SECRETS.finditer(text)]
+        assert [text[a:b] for a, b, k in s.entities(text)] == want and (want or not name.isascii()), name
+
+
 def test_permutation():
     m = s.Surrogates(KEY)
     for size in (1, 2, 3, 7, 26, 1000):
