@@ -403,12 +403,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pairs = pairs.union(few.where("text_key <> one").select(F.greatest("text_key", "one").alias("u"), F.least("text_key", "one").alias("v")))
     pairs = written(pairs.distinct())
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).union(members.select("text_key")).distinct()
-    some = keyed.join(nodes, "text_key", "left_semi")
+    some = keyed.join(nodes, "text_key", "left_semi").dropDuplicates(["text_key"])  # here, as the join has dealt texts by it
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width) for t in texts(batch.column(1))], pa.list_(pa.int64()))], names=["text_key", "grams"])
 
-    grams = written(map_slices(some, 1, "text_key long, grams array<long>", sets).dropDuplicates(["text_key"]))
+    grams = written(map_slices(some, 1, "text_key long, grams array<long>", sets))
     written.release()
     both = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
     shared, union = F.size(F.array_intersect("gu", "gv")), F.size("gu") + F.size("gv")
