@@ -9,6 +9,7 @@ blocks, and the labels of the nearest vote by similarity.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from operator import eq
@@ -96,9 +97,9 @@ class Space:
             return np.full(len(rows), self.base)
         like = np.maximum(self.project(rows) @ self.vectors.T, 0)
         k = min(self.nearest, len(self.labels))
-        near = np.argpartition(-like, k - 1, axis=1)[:, :k]
-        vote = np.take_along_axis(like, near, 1).astype(np.float64) ** self.power + 1e-9
-        return np.clip((vote * self.labels[near]).sum(1) / vote.sum(1), 0, 1)
+        least = -np.partition(-like, k - 1, axis=1)[:, k - 1 : k]
+        vote = np.where(like >= least, like.astype(np.float64) ** self.power + 1e-9, 0)  # with all that tie for the last place
+        return np.clip(vote @ self.labels / vote.sum(1), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 4096, **how) -> Space:
@@ -115,13 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         rows = rows_of(texts(batch.column(0)))
         return pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary()), batch.column(1)], names=["row", "label"])
 
-    got = map_slices(found, 0, "row binary, label double", run).orderBy("row", "label").limit(most).collect()
-    rows = np.array([np.frombuffer(r.row, np.float16) for r in got], np.float32).reshape(-1, WIDTH)
-    return Space(rows, np.array([r.label for r in got]), **how)
+    def build(batches):
+        got = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        rows = np.array([np.frombuffer(r, np.float16) for r, _ in got], np.float32).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Space(rows, np.array([n for _, n in got]), **how))], pa.binary())], names=["space"])
+
+    # at most `most` rows of 4 kB, in one task; the driver only gets the axes and the vectors
+    rows = map_slices(found, 0, "row binary, label double", run).orderBy("row", "label").limit(most).coalesce(1)
+    made = rows.mapInArrow(build, "space binary").collect()
+    return pickle.loads(made[0].space) if made else Space(np.zeros((0, WIDTH), np.float32), np.zeros(0), **how)
 
 
 def score(docs: DataFrame, space: Space, text_col: str = "text", score_col: str = "score", block: int = 512) -> DataFrame:
-    """docs with score_col, from the text alone; null and empty texts are scored as texts without words."""
+    """docs with score_col, from the text alone; null and empty texts are scored as texts without words.
+
+    All labelled vectors that tie for the last place vote. Repeated rows are scored each; a column of docs named score_col is replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(space)
     names = [c for c in docs.columns if c != score_col]
     docs = docs.select(*[F.col(f"`{c}`") for c in names])

@@ -24,28 +24,39 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """The unsigned fingerprint of one text."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """Unsigned XXH64 of a text's shingles in order, repeats included; with fewer words than width, of the whole sequence."""
     import xxhash
 
     words = text.lower().split()  # bytes.lower and bytes.split know ASCII only, as the word pattern does
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= width:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([digest(line, 42)], np.uint64)
     spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     m = n - width + 1
     starts = [0, *(spaces[: m - 1] + 1).tolist()]
     ends = [*spaces[width - 1 :].tolist(), len(line)]
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends)), np.uint64, m)
-    lanes = hashes.view(np.uint8).reshape(m, 8) + _LANES
-    ones = np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends)), np.uint64, m)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number of the bits that over half of the hashes have; zero for none."""
+    m = len(hashes)
+    if m < 2:
+        return int(hashes[0]) if m else 0
+    ones = np.bincount((hashes.view(np.uint8).reshape(m, 8) + _LANES).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(2 * ones.ravel() > m, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """The unsigned fingerprint of one text."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id_col, fp): a signed 64-bit fingerprint for each row."""
 
@@ -198,241 +209,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return own.join(classes, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Texts of a shingle from which its pairs are not listed but compared cell by cell, and texts of one side of a cell.
-HOT, CELL = 64, 512
-
-
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Hashes of a text's different shingles, as signed numbers."""
-    import xxhash
-
-    words = text.lower().split()
-    grams = {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    return np.array([xxhash.xxh64_intdigest(g, 42) for g in grams], np.uint64).view(np.int64)
-
-
-def common_shingles(docs: DataFrame, width: int, written: Written, total: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of (text_key, text) shows to be common, sorted, and how often it has them.
-
-    They only order shingles, rare ones first; any order gives the same pairs, a good one fewer to check.
-    """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts(batch.column(1))]))], names=["gram"])
-
-    one_in = max(1, min(16, total // 16384))
-    some = docs.where(F.pmod(F.xxhash64("text_key", F.lit(1)), F.lit(one_in)) == 0)
-    counts = written(map_slices(some, 1, "gram long", run).groupBy("gram").agg(F.count("*").alias("n")).where("n > 2"))
-    left, least = most, 3
-    for row in sorted(counts.groupBy("n").agg(F.count("*").alias("grams")).collect(), key=lambda r: -r.n):
-        left -= row.grams
-        if left < 0:
-            least = row.n + 1
-            break
-    got = counts.where(F.col("n") >= least).toArrow()
-    grams, n = got.column("gram").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(grams)
-    return grams[order], n[order]
-
-
-def prefixes(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, place, shingle) of the first shingles of each set, so many that two sets of at least the similarity share one."""
-    size = np.array([len(x) for x in sets], np.int64)
-    grams, own = np.concatenate([*sets, np.zeros(0, np.int64)]), np.repeat(np.arange(len(sets)), size)
-    often = np.zeros(len(grams), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], grams), len(common[0]) - 1)
-        often = np.where(common[0][at] == grams, common[1][at], 0)
-    order = np.lexsort((grams, often, own))
-    place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
-    first = place <= np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64), size)
-    return own[first], place[first], grams[order][first]
-
-
-def listed_pairs(gram: np.ndarray, key: np.ndarray, place: np.ndarray, size: np.ndarray, similarity: float, hot: int = HOT):
-    """(u, v, False) for pairs of texts with a shingle in common that their sizes and its places allow; (shingle, text, True) for shingles of more than hot texts.
-
-    Places bound what follows the first shingle in common; a similar pair passes there, whatever it does at later ones.
-    """
-    order = np.lexsort((key, gram))
-    gram, key = gram[order], key[order]
-    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])) if len(gram) else np.zeros(0, np.int64)
-    gram, key, place, size = gram[new], key[new], place[order][new], size[order][new]
-    begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else new
-    many = np.diff(np.append(begin, len(gram)))
-    for m in np.unique(many[many > 1]).tolist():
-        starts = begin[many == m]
-        if m > hot:
-            at = (starts[:, None] + np.arange(m)).ravel()
-            yield gram[at], key[at], True
-            continue
-        i, j = np.triu_indices(m, 1)
-        step = max(1, (1 << 20) // len(i))
-        for a in range(0, len(starts), step):
-            x, y = (starts[a : a + step, None] + i).ravel(), (starts[a : a + step, None] + j).ravel()
-            after = np.minimum(size[x] - place[x], size[y] - place[y])
-            ok = after >= (size[x] + size[y]) * (similarity / (1 + similarity)) - 1e-9  # no less than the sizes' own bound
-            yield key[x[ok]], key[y[ok]], False
-
-
-def set_links(a: list[np.ndarray], b: list[np.ndarray], similarity: float, columns: int = 4096) -> np.ndarray:
-    """Indices (of a, of b) of the pairs of sets of at least the similarity."""
-    na, nb = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    ta, tb = np.concatenate(a), np.concatenate(b)
-    both = np.intersect1d(ta, tb)
-    shared = np.zeros((len(a), len(b)))
-    sides = []
-    for t, n in ((ta, na), (tb, nb)):
-        own, at = np.repeat(np.arange(len(n)), n), np.searchsorted(both, t)
-        ok = at < len(both)
-        ok[ok] = both[at[ok]] == t[ok]
-        own, at = own[ok], at[ok]
-        order = np.argsort(at, kind="stable")
-        sides.append((own[order], at[order], len(n)))
-    for c in range(0, len(both), columns):
-        parts = []
-        for own, at, n in sides:
-            x, y = np.searchsorted(at, (c, c + columns))
-            part = np.zeros((n, columns), np.float32)
-            part[own[x:y], at[x:y] - c] = 1
-            parts.append(part)
-        shared += parts[0] @ parts[1].T
-    union = na[:, None] + nb[None, :] - shared
-    return np.stack(np.nonzero(union * similarity <= shared))
-
-
-def forest(links: np.ndarray, n: int) -> np.ndarray:
-    """Those of the links among n nodes that join what those before have not joined."""
-    root, keep = list(range(n)), []
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for k, (u, v) in enumerate(links.T.tolist()):
-        u, v = top(u), top(v)
-        if u != v:
-            root[max(u, v)] = min(u, v)
-            keep.append(k)
-    return links[:, keep]
-
-
-def cell_links(held: DataFrame, grams: DataFrame, similarity: float, written: Written, cell_rows: int) -> DataFrame | None:
-    """Links (u, v) of similar texts among those of a block with different roots, of (text_key, block, root); None if all blocks have one root.
-
-    The texts of a block's largest root are residents, which need no links with each other. Every
-    cell holds the sets of two pieces, compares all their pairs and sends links that join what they join.
-    """
-    counts = written(held.groupBy("block", "root").agg(F.count("*").alias("n")))
-    largest = counts.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most")).where("total > most")
-    largest = written(largest.select("block", "main", F.ceil(F.col("most") / cell_rows).cast("int").alias("nr"), F.ceil((F.col("total") - F.col("most")) / cell_rows).cast("int").alias("nv")))
-    if not largest.limit(1).count():
-        return None
-    placed = held.join(largest, "block").withColumn("home", F.expr("root = main")).withColumn("piece", F.expr("cast(pmod(xxhash64(text_key), if(home, nr, nv)) as int)"))
-    # kind 0: a piece of the others with another or itself; kind 1: a piece of the others with one of residents
-    cells = F.expr(
-        "case when home then transform(sequence(0, nv - 1), x -> struct(1 as kind, x as i, piece as j)) "
-        "else concat(transform(sequence(0, nv - 1), x -> struct(0 as kind, least(x, piece) as i, greatest(x, piece) as j)), transform(sequence(0, nr - 1), x -> struct(1 as kind, piece as i, x as j))) end"
-    )
-    dealt = placed.select("text_key", "block", "home", "piece", F.explode(cells).alias("cell")).join(grams, "text_key")
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, kind, i, j = key
-        sets = [np.asarray(x, np.int64) for x in pdf["grams"]]
-        home, piece = pdf["home"].to_numpy(bool), pdf["piece"].to_numpy()
-        left = np.flatnonzero(~home if kind == 1 else piece == i)
-        right = np.flatnonzero(home if kind == 1 else piece == j)
-        if not len(left) or not len(right):
-            return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
-        x, y = set_links([sets[p] for p in left], [sets[p] for p in right], similarity)
-        got = forest(np.stack([left[x], right[y]]), len(sets))
-        names = pdf["text_key"].to_numpy(np.int64)
-        return pd.DataFrame({"u": names[got[0]], "v": names[got[1]]})
-
-    return dealt.select("block", "cell.kind", "cell.i", "cell.j", "piece", "home", "text_key", "grams").groupBy("block", "kind", "i", "j").applyInPandas(compare, "u long, v long")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, hot: int = HOT, cell_rows: int = CELL) -> DataFrame:
-    """(id, text_key, group_key, kept) for each row: groups linked by shingle sets of at least that Jaccard similarity.
-
-    An exact prefix join: with shingles in one order for all texts, two sets that similar
-    share one of their first shingles, so texts that share none need no comparison; the sets decide
-    about the others. Texts of a shingle that more than hot texts begin with are compared
-    cell by cell, and only similar pairs are thinned, never proposed ones. Of each group the row of
-    smallest id stays; equal texts are one text (text_key is a 64-bit hash), and texts
-    without words link with each other only.
-    """
-    written = Written(docs.sparkSession)
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    own = written(docs.select(F.col(id_col).alias("id"), key.alias("text_key")))
-    keyed = docs.select(key.alias("text_key"), F.col(text_col).alias("text"))
-    common = common_shingles(keyed, width, written, own.count())
-
-    def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in texts(batch.column(1))]
-        size = np.array([len(x) for x in sets], np.int64)
-        at, place, gram = prefixes(sets, common, similarity)
-        none = np.flatnonzero(size == 0)  # texts without words share one shingle of their own
-        at, place, gram = np.append(at, none), np.append(place, 0 * none), np.append(gram, 0 * none)
-        return pa.RecordBatch.from_arrays([pa.array(gram), batch.column(0).take(pa.array(at)), pa.array(place << 32 | size[at])], names=["gram", "text_key", "place"])
-
-    def pairs_of(batches):
-        parts = [np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches]
-        if not parts:
-            return
-        gram, name, place = np.concatenate(parts, axis=1)
-        parts.clear()
-        for u, v, many in listed_pairs(gram, name, place >> 32, place & 0xFFFFFFFF, similarity, hot):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), many))], names=["u", "v", "hot"])
-
-    first = map_slices(keyed, 1, "gram long, text_key long, place long", begin).repartition("gram")
-    found = written(first.mapInArrow(pairs_of, "u long, v long, hot boolean").distinct())
-    written.release()
-    pairs = found.where("not hot").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    members = found.where("hot").select(F.col("u").alias("gram"), F.col("v").alias("text_key"))
-    crowded = members.limit(1).count() > 0
-    if crowded:
-        heads = written(members.groupBy("gram").agg(F.min("text_key").alias("head"), F.min_by("text_key", F.xxhash64("gram", "text_key")).alias("one")))
-        blocks = connected_components(members.join(heads, "gram").select(F.col("text_key").alias("u"), F.col("head").alias("v")), written).toDF("text_key", "block")
-        blocks = members.select("text_key").distinct().join(blocks, "text_key", "left").select("text_key", F.coalesce("block", "text_key").alias("block"))
-        # a few pairs of each such text come first, as texts that they join need not meet again
-        few = members.groupBy("text_key").agg(F.slice(F.array_sort(F.collect_set("gram")), 1, 3).alias("grams")).select("text_key", F.explode("grams").alias("gram")).join(heads, "gram")
-        pairs = pairs.union(few.where("text_key <> one").select(F.greatest("text_key", "one").alias("u"), F.least("text_key", "one").alias("v")))
-    pairs = written(pairs.distinct())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("text_key")).union(members.select("text_key")).distinct()
-    some = keyed.join(nodes, "text_key", "left_semi").dropDuplicates(["text_key"])  # here, as the join has dealt texts by it
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width) for t in texts(batch.column(1))], pa.list_(pa.int64()))], names=["text_key", "grams"])
-
-    grams = written(map_slices(some, 1, "text_key long, grams array<long>", sets))
-    written.release()
-    both = pairs.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
-    shared, union = F.size(F.array_intersect("gu", "gv")), F.size("gu") + F.size("gv")
-    links = written(both.where(((union - shared) * similarity <= shared)).select("u", "v"))
-    roots = connected_components(links, written).toDF("text_key", "root")
-    if crowded:
-        held = written(blocks.join(roots, "text_key", "left").select("text_key", "block", F.coalesce("root", "text_key").alias("root")))
-        more = cell_links(held, grams, similarity, written, cell_rows)
-        if more is not None:
-            roots = connected_components(links.union(written(more)), written).toDF("text_key", "root")
-    written.release()
-    grouped = own.select("id", "text_key").join(roots, "text_key", "left").select("id", "text_key", F.coalesce("root", "text_key").alias("group_key"))
-    grouped = written(grouped)
-    stay = written(grouped.groupBy("group_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("first")))
-    return grouped.join(stay, "group_key").select("id", "text_key", "group_key", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))).alias("kept"))
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one row of each group of similar texts, all columns kept; a row that repeats the one that stays, id and text, stays once."""
-    written = Written(docs.sparkSession)
-    found = written(similar_groups(docs, id_col, text_col, **how).where("kept"))
-    mine = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    chosen = found.select(F.col("id").alias("__id"), F.col("text_key").alias("__text"))
-    out = mine.join(chosen, mine[id_col].eqNullSafe(chosen["__id"]) & (mine["__key"] == chosen["__text"]), "left_semi")
-    if found.groupBy("id", "text_key").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "__key"])
-    return out.drop("__key")
