@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm import exact, neighbours, packing, simhash, surrogates
+from quadrille.llm import exact, neighbours, packing, similar, surrogates
 from quadrille.llm.common import Written
 from quadrille.llm.queries import PII_KEY, TOKENIZERS
 
@@ -26,7 +26,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    return simhash.drop_similar(docs, width=5, similarity=0.8)
+    return similar.drop_similar(docs, width=5, similarity=0.8)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
