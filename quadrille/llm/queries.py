@@ -33,7 +33,7 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net
 
 
 def op5_url_segments(spark: SparkSession, d: str) -> DataFrame:
-    return urls.judge(spark.read.parquet(f"{d}/pages.parquet"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(spark.read.parquet(f"{d}/pages.parquet"), URL_RULES, text_cols=("html",)).select("page_id", "host", "path", "rule", "verdict")
 
 
 #: A deployment passes a secret of its own; this one only makes the registered queries repeatable.

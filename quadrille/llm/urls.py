@@ -1,8 +1,9 @@
 """URL filtering: host and path rules first, then naive Bayes over words that hosts are made of.
 
-Names run words together. A Viterbi search splits each label of a host into
-the likeliest words of a fixed lexicon, whose frequencies come from all URLs of the table; a
-multinomial naive Bayes model, trained on fixed labelled names, scores the words of host and path.
+Names run words together. A Viterbi search splits each run of letters of a host and path into
+its likeliest words. Their unigram frequencies come from all the table's texts and URLs; a word outside the
+lexicon is likely by its length, so a name that is no chain of common words stays whole. A multinomial naive Bayes model,
+trained on labelled names, scores the words; words that no labelled name has say nothing.
 """
 
 from __future__ import annotations
@@ -17,12 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import id_type
 
-# Labelled names that train the model; their words are the lexicon.
-BLOCKED = """casino win|casino bonus|online casino slots|poker room|free bets|sports betting|best bets|jackpot slots|roulette casino|bingo bonus win|adult x|adult video|sex chat|xxx porn|porn tube|nude cams|escort girls|hot girls live
-spam farm|link farm|seo spam|click farm|free pills|cheap viagra|pharma pills|payday loan|instant cash loan|crypto doubler|free money win|win prize now|lottery prize|warez crack|serial keygen|torrent warez|hacked accounts|fake watches|replica bags|get rich quick"""
+# Labelled names that train the classifier; other names are judged by the words that they share with these.
+BLOCKED = """casino bonus|online casino slots|poker room|sports betting|best bets|jackpot slots|roulette casino|bingo bonus win|adult video|x rated movies|sex chat|xxx porn|porn tube|nude cams|escort girls|hot girls live|adult dating
+link farm|seo spam|spam mail|click farm|free pills|cheap viagra|pharma pills|diet pills|payday loan|instant cash loan|crypto doubler|free money|win prize now|lottery prize|win money|warez crack|serial keygen|torrent warez|hacked accounts|fake watches|replica bags|get rich quick|ad server|banner ads|pop ads|ads network|click track|track pixel"""
 ALLOWED = """news blog|daily news|world news|science news|city library|public library|art museum|history museum|school book|university press|research lab|open data|health guide|travel guide|travel blog|food blog|garden blog|recipe book|music school|film review
-book review|sports news|football club|tech blog|code docs|user docs|open source|free software|wiki page|photo art|weather report|local paper|green energy|water works|farm shop|family farm|home garden|game review|video lesson|online course|adult education|best practice|live music|prize essay|people search"""
-_NEUTRAL = {"www", "m", "blog", "com", "net", "org", "example", "html", "htm", "php", "index", "en", "de", "fr", "es", "it"}
+book review|sports news|football club|tech blog|code docs|user docs|open source|free software|wiki page|photo art|weather report|local paper|green energy|water works|farm shop|family farm|home garden|game review|video lesson|online course|adult education|best practice|live music|prize essay|people search|race track"""
 
 
 def rule_parts(rules: list[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
@@ -37,42 +37,53 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
+def seeds() -> list[tuple[bool, list[str]]]:
+    return [(blocked, line.split()) for blocked, text in ((True, BLOCKED), (False, ALLOWED)) for line in text.replace("\n", "|").split("|")]
+
+
 class Model:
-    def __init__(self, counts: dict[str, int] | None = None, threshold: float = 0.5, prior: float = 0.3):
-        self.words = {c: Counter(w for line in text.replace("\n", "|").split("|") for w in line.split()) for c, text in (("block", BLOCKED), ("allow", ALLOWED))}
-        self.lexicon = set(self.words["block"]) | set(self.words["allow"]) | _NEUTRAL
-        counts = counts or {}
-        total = sum(counts.values()) + 100 * len(self.lexicon)
-        #: a word's log frequency, never below what a fixed share gives
-        self.cost = {w: math.log((counts.get(w, 0) + 100) / total) for w in self.lexicon}
-        self.longest = max(map(len, self.lexicon))
-        self.prior, self.threshold = math.log(prior / (1 - prior)), threshold
-        size = {c: sum(x.values()) + len(self.lexicon) for c, x in self.words.items()}
-        self.odds = {w: math.log((self.words["block"][w] + 1) / size["block"]) - math.log((self.words["allow"][w] + 1) / size["allow"]) for w in self.lexicon - _NEUTRAL}
+    """counts: how often each word of the lexicon occurs; labelled: (whether blocked, words) of each name; prior: the share of URLs to block."""
+
+    #: what a labelled word counts at least, and letters of the longest word
+    FLOOR, LONGEST = 50, 20
+
+    def __init__(self, counts: dict[str, int] | None = None, labelled: list[tuple[bool, list[str]]] | None = None, prior: float = 0.3):
+        labelled = seeds() if labelled is None else labelled
+        words = {c: Counter(w for blocked, line in labelled if blocked == c for w in line) for c in (True, False)}
+        known = set(words[True]) | set(words[False])
+        counts = {w: n for w, n in (counts or {}).items() if len(w) <= self.LONGEST} | {w: max(self.FLOOR, (counts or {}).get(w, 0)) for w in known}
+        self.total = max(1_000_000, sum(counts.values()))
+        self.cost = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.longest = max(map(len, self.cost))
+        self.prior = math.log(prior / (1 - prior))
+        size = {c: sum(x.values()) + len(known) for c, x in words.items()}
+        self.odds = {w: math.log((words[True][w] + 1) / size[True]) - math.log((words[False][w] + 1) / size[False]) for w in known}
         self.seen: dict[str, list[str]] = {}
 
+    def unknown(self, length: int) -> float:
+        """The log probability of a word outside the lexicon: a tenth for each letter."""
+        return math.log(10 / self.total) - length * math.log(10)
+
     def split(self, name: str) -> list[str]:
-        """The likeliest words of a name; a stretch of unknown letters costs by its length, and is one word."""
-        best: list[tuple[float, int, bool]] = [(0.0, 0, True)]
+        """The likeliest words of a name; of equally likely splits the one whose last word is longest."""
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        strange: list[tuple[float, int]] = [(-math.inf, 0)]  # the best that ends in an unknown word, by the place where that begins
         for end in range(1, len(name) + 1):
-            # an unknown letter, dearer where an unknown stretch begins
-            score, _, known = best[end - 1]
-            choice = (score - (9.0 if known else 3.2), end - 1, False)
+            # an unknown word goes on from the letter before, or begins here
+            choice = max((strange[-1][0] - math.log(10), -strange[-1][1]), (best[end - 1][0] + self.unknown(1), 1 - end))
+            strange.append((choice[0], -choice[1]))
+            top = strange[-1]
             for start in range(max(0, end - self.longest), end):
                 cost = self.cost.get(name[start:end])
-                if cost is not None and best[start][0] + cost > choice[0]:
-                    choice = (best[start][0] + cost, start, True)
-            best.append(choice)
-        out: list[tuple[str, bool]] = []
-        end = len(name)
+                if cost is not None and best[start][0] + cost > top[0]:
+                    top = (best[start][0] + cost, start)
+            best.append(top)
+        out, end = [], len(name)
         while end:
-            _, start, known = best[end]
-            if not known and out and not out[-1][1]:
-                out[-1] = (name[start:end] + out[-1][0], False)
-            else:
-                out.append((name[start:end], known))
+            start = best[end][1]
+            out.append(name[start:end])
             end = start
-        return [w for w, _ in reversed(out)]
+        return out[::-1]
 
     def score(self, host: str, path: str) -> float:
         """The model's probability that a URL is to be blocked."""
@@ -83,23 +94,24 @@ class Model:
             if name not in self.seen:
                 self.seen[name] = self.split(name)
             total += sum(self.odds.get(w, 0.0) for w in self.seen[name])
-        return 1 / (1 + math.exp(-total))
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def word_counts(urls: DataFrame, url_col: str) -> dict[str, int]:
-    """How often each word of the lexicon stands alone in a URL of the table; a row a word at most."""
-    host, path = host_path(F.col(url_col))
-    names = urls.select(F.explode(F.split(F.lower(F.concat_ws(" ", host, path)), "[^a-z]+")).alias("w"))
-    return {r.w: r["count"] for r in names.where(F.col("w").isin(sorted(Model().lexicon))).groupBy("w").count().collect()}
+def word_counts(pages: DataFrame, columns: list[str], most: int = 1 << 15) -> dict[str, int]:
+    """How often the most frequent runs of the letters a to z occur in the columns of all rows; most bounds what is gathered."""
+    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns]))
+    names = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, Model.LONGEST))
+    return {r.w: r.n for r in names.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", text_cols: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
     """(id_col, host, path, rule, verdict, score) of each row.
 
     The longest rule that fits decides; without one the model does: score is its
     probability of a block, and threshold or more blocks. A null url or one without "://" has empty host and path.
+    text_cols give the lexicon its words beside the URLs. Repeated rows are judged each; other columns are left out.
     """
-    counts = word_counts(pages, url_col)
+    counts = word_counts(pages, [url_col, *text_cols])
     host, path = host_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")

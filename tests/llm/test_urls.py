@@ -19,33 +19,44 @@ def plain(url):
 
 
 def test_viterbi_is_best():
-    m = urls.Model({"win": 50})
-    for name in ("casinowin", "freebets", "thtre", "adultx", "newsblog", "xwinx", "a", ""):
+    m = urls.Model({"win": 50, "the": 90000, "and": 50000, "er": 3000})
+    for name in ("casinowin", "freebets", "thtre", "adultx", "newsblog", "xwinx", "theander", "a", ""):
         words = m.split(name)
         assert "".join(words) == name
 
         def cost(parts):
-            return sum(m.cost[p] if p in m.cost else -9.0 - 3.2 * (len(p) - 1) for p in parts)
-
-        best = -1e9
-        for cuts in itertools.product([0, 1], repeat=max(0, len(name) - 1)):
-            parts, last = [], 0
-            for i, c in enumerate(cuts, 1):
-                if c:
-                    parts.append(name[last:i])
-                    last = i
-            parts.append(name[last:])
-            if not any(a not in m.cost and b not in m.cost for a, b in zip(parts, parts[1:])):
-                best = max(best, cost(parts) if name else 0)
-        assert abs(cost(words) - best) < 1e-9 or not name
-    assert m.split("casinowin") == ["casino", "win"] and m.split("freebets") == ["free", "bets"]
+            return sum(m.cost[p] if p in m.cost else m.unknown(len(p)) for p in parts)
+
+        best = max(cost([name[i:j] for i, j in zip((0, *cuts), (*cuts, len(name)))]) for n in range(max(1, len(name))) for cuts in itertools.combinations(range(1, len(name)), n)) if name else 0
+        assert abs(cost(words) - best) < 1e-9
+    whole = "winchester scunthorpe essex sussex middlesex dorchester".split()
+    assert [m.split(w) for w in whole] == [[w] for w in whole]
+    joined = "online casino|best poker room|free bets|city weather|daily news blog|payday loan|family farm shop|world news|cheap pills|open source docs|link farm|travel guide|music school|sports betting".split("|")
+    assert [m.split(w.replace(" ", "")) for w in joined[:8] + joined[9:]] == [w.split() for w in joined[:8] + joined[9:]]
+
+
+def test_bayes_is_plain_counting():
+    import math
+
+    labelled = [(True, ["free", "win"]), (True, ["win"]), (False, ["free", "news"]), (False, ["farm"])]
+    m = urls.Model({"news": 1000}, labelled, prior=0.25)
+    bad, good, v = ["free", "win", "win"], ["free", "news", "farm"], 4
+    for words in (["free", "win"], ["news"], ["win", "farm", "win"], ["else"]):
+        odds = math.log(0.25 / 0.75) + sum(math.log((bad.count(w) + 1) / (len(bad) + v)) - math.log((good.count(w) + 1) / (len(good) + v)) for w in words if w in bad + good)
+        assert abs(m.score(".".join(words), "") - 1 / (1 + math.exp(-odds))) < 1e-12
+
+
+def test_left_out_names():
+    every = urls.seeds()
+    right = sum((urls.Model(None, every[:i] + every[i + 1 :], 0.5).score("".join(words), "") >= 0.5) == blocked for i, (blocked, words) in enumerate(every))
+    assert right >= 0.6 * len(every)  # most words of a name left out are in no other
 
 
 def test_rows(spark):
     names = ["http://a.Example.com/en/12", "http://example.com/en/7x?y=/z", "https://x.net/de/8", "https://b.example.net/de/8", "ftp://q.org/es/#f", "http://myexample.com/en/7", "http://com/en/", "http://www.casino-win.example.org/en/14", "http://freebets.example.org/en", "http://adult-x.example.org/q", "http://spam-farm.example.org/", "http://ththre.example.org/fr/825?page=2", "http://blog.tionsh.example.org/news", None, "", "no scheme", "x://", "http://é.org", "http://h?q#f/", "HTTP://A://b/c", "http://long.org/" + "a" * 100000, "http://familyfarm.example.org/shop"]
     rows = list(enumerate(names)) + [(None, names[0]), (0, names[0])]
-    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "2 as rule", "3 as id")
-    got = urls.judge(df, RULES).collect()
+    df = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "2 as rule", "3 as id", "'the text of a page' as html")
+    got = urls.judge(df, RULES, text_cols=("html",)).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got if r.page_id is not None}
     for i, u in enumerate(names):
