@@ -1,7 +1,7 @@
 """URL filtering: host and path rules first, then naive Bayes over words that hosts are made of.
 
 Names run words together. A Viterbi search splits each run of letters of a host and path into
-its likeliest words. Their unigram frequencies come from all the table's texts and URLs; a word outside the
+its likeliest words. Their unigram frequencies come from all the table's texts; a word outside the
 lexicon is likely by its length, so a name that is no chain of common words stays whole. A multinomial naive Bayes model,
 trained on labelled names, scores the words; words that no labelled name has say nothing.
 """
@@ -47,7 +47,7 @@ class Model:
     #: what a labelled word counts at least, and letters of the longest word
     FLOOR, LONGEST = 50, 20
 
-    def __init__(self, counts: dict[str, int] | None = None, labelled: list[tuple[bool, list[str]]] | None = None, prior: float = 0.3):
+    def __init__(self, counts: dict[str, int] | None = None, labelled: list[tuple[bool, list[str]]] | None = None, prior: float = 0.3, names: set[str] = frozenset()):
         labelled = seeds() if labelled is None else labelled
         words = {c: Counter(w for blocked, line in labelled if blocked == c for w in line) for c in (True, False)}
         known = set(words[True]) | set(words[False])
@@ -59,6 +59,11 @@ class Model:
         size = {c: sum(x.values()) + len(known) for c, x in words.items()}
         self.odds = {w: math.log((words[True][w] + 1) / size[True]) - math.log((words[False][w] + 1) / size[False]) for w in known}
         self.seen: dict[str, list[str]] = {}
+        # texts name hosts: such a name is no word of its own if other words of three letters or more make it up
+        for name in sorted((names & set(counts)) - known, key=lambda w: (len(w), w)):
+            own = self.cost.pop(name)
+            if not all(w in self.cost and len(w) > 2 for w in self.split(name)):
+                self.cost[name] = own
 
     def unknown(self, length: int) -> float:
         """The log probability of a word outside the lexicon: a tenth for each letter."""
@@ -97,11 +102,16 @@ class Model:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def word_counts(pages: DataFrame, columns: list[str], most: int = 1 << 15) -> dict[str, int]:
-    """How often the most frequent runs of the letters a to z occur in the columns of all rows; most bounds what is gathered."""
-    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in columns]))
-    names = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, Model.LONGEST))
-    return {r.w: r.n for r in names.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
+def word_counts(pages: DataFrame, url_col: str, text_cols: tuple[str, ...], most: int = 1 << 15) -> tuple[dict[str, int], set[str]]:
+    """How often the most frequent runs of the letters a to z occur in text_cols of all rows, and which of them are names of hosts; most bounds what is gathered."""
+    if not text_cols:
+        return {}, set()
+    text = F.lower(F.concat_ws(" ", *[F.col(f"`{c}`") for c in text_cols]))
+    said = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    hosts = pages.select(F.explode(F.split(host_path(F.col(f"`{url_col}`"))[0], "[^a-z]+")).alias("w")).groupBy("w").agg(F.lit(0).cast("long").alias("n"))
+    both = said.withColumn("host", F.lit(0)).union(hosts.withColumn("host", F.lit(1))).where(F.length("w").between(2, Model.LONGEST))
+    got = both.groupBy("w").agg(F.sum("n").alias("n"), F.max("host").alias("host")).where("n > 0").orderBy(F.desc("n"), "w").limit(most).collect()
+    return {r.w: r.n for r in got}, {r.w for r in got if r.host}
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", text_cols: tuple[str, ...] = (), threshold: float = 0.5) -> DataFrame:
@@ -109,9 +119,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
 
     The longest rule that fits decides; without one the model does: score is its
     probability of a block, and threshold or more blocks. A null url or one without "://" has empty host and path.
-    text_cols give the lexicon its words beside the URLs. Repeated rows are judged each; other columns are left out.
+    text_cols give the lexicon its words beside the labelled ones. Repeated rows are judged each; other columns are left out.
     """
-    counts = word_counts(pages, [url_col, *text_cols])
+    counts, hosts = word_counts(pages, url_col, text_cols)
     host, path = host_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -123,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     parts = parts.select("*", rule.alias("rule"), verdict.alias("own"))
 
     def run(batches):
-        model = Model(counts)
+        model = Model(counts, names=hosts)
         for batch in batches:
             scores = [model.score(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             verdicts = [v or ("block" if x >= threshold else "allow") for v, x in zip(batch.column(4).to_pylist(), scores)]
