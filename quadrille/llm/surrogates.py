@@ -1,7 +1,7 @@
 """Personal data and secrets replaced by keyed surrogates.
 
 Each kind of entity has a canonical form, so one entity gets one surrogate however and
-wherever it is written. A surrogate is a keyed permutation of the entity's own format:
+wherever it is written; the words of a name have surrogates of their own, so a person is one with any title or none. A surrogate is a keyed permutation of the entity's own format:
 letters of the same case and script, digits for digits, valid check digits, given names of the same
 gender. A permutation keeps different entities different. An entity whose surrogate would
 be one that the corpus itself holds gets another, checked against all that are in use.
@@ -31,7 +31,12 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Fräulein Señora Señorita Madame Mademoiselle Госпожа".split(),
     "n": "Dr Prof Professor Доктор".split(),
 }
-CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
+CLASSES = (
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "0123456789", "аеёиоуыэюяіїє", "бвгджзйклмнпрстфхцчшщъьґўј",
+    "àáâãäåæèéêëìíîïòóôõöøùúûüýÿāăąēėęěīįōőœūůűų", "çćčďđğłľńňñŕřśşšťţźżžþ",
+)
+#: upper-case letters of Latin, Greek and Cyrillic scripts
+_UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -48,8 +53,9 @@ NUMBERS = re.compile(
 SECRETS = re.compile(r"(?<![A-Z0-9])(?P<access>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Z0-9])|(?i:\b(?:password|passwd|pwd|token|secret|api_?key)\b\s*[=:]\s*[\"']?)(?P<secret>[A-Za-z0-9+/_~-]{8,})")
 #: in lower case, one of them in whatever SECRETS finds
 SECRET_HINTS = ("akia", "asia", "password", "passwd", "pwd", "token", "secret", "apikey", "api_key")
-NAMES = re.compile(r"\b(?P<title>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + r")\.? (?P<name>[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+(?: [A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+)?)")
+NAMES = re.compile(r"\b(?P<title>" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")\.? (?P<name>[{_UPPER}][\w'’-]+(?: [{_UPPER}][\w'’-]+)?)")
 _DIGIT = re.compile(r"[0-9]")
+_LISTED = {n: g for (_, g), names in GIVEN.items() for n in names}
 
 
 def luhn(digits: str) -> int:
@@ -68,14 +74,21 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
         found += [(*m.span(), "email") for m in EMAIL.finditer(text)]
     low = text.lower().replace("ı", "i").replace("ſ", "s").replace("\u0307", "")  # letters that SECRETS takes for i and s
     if any(h in low for h in SECRET_HINTS):
-        found += [(*m.span(m.lastgroup), m.lastgroup) for m in SECRETS.finditer(text)]
+        found += [(*m.span(m.lastgroup), m.lastgroup) for m in SECRETS.finditer(text) if sum(map(str.isalnum, m[m.lastgroup])) > 3]
     if _DIGIT.search(text):
         for m in NUMBERS.finditer(text):
-            if m.lastgroup == "iban" and iban_rest(m[0].replace(" ", "")) != 1:
-                continue
+            if m.lastgroup == "iban" and iban_rest(m[0].replace(" ", "")) != 1 or m.lastgroup == "card" and luhn(re.sub(r"\D", "", m[0])):
+                continue  # a number that its check digits deny is none of these
             found.append((*m.span(), m.lastgroup))
     if any(t in text for t in _GENDER):
-        found += [(*m.span("name"), "name_" + _GENDER[m["title"]]) for m in NAMES.finditer(text)]
+        titled = [(*m.span("name"), "name") for m in NAMES.finditer(text)]
+        found += titled
+        # the same people without their titles: by full name or by family name
+        people = {text[a:b] for a, b, _ in titled}
+        people |= {x.rpartition(" ")[2] for x in people if x.rpartition(" ")[2].lower() not in _LISTED}
+        if people:
+            again = re.compile(r"(?<![\w'’-])(?:" + "|".join(re.escape(x) for x in sorted(people, key=lambda x: (-len(x), x))) + r")(?![\w'’-])")
+            found += [(*m.span(), "name") for m in again.finditer(text)]
     end = 0
     taken: list[tuple[int, int, str]] = []
     for rank, (a, b, kind) in sorted(enumerate(found)):
@@ -89,15 +102,21 @@ def entities(text: str) -> Iterator[tuple[int, int, str]]:
 
 def canonical(kind: str, written: str) -> str:
     """What is the same for all ways to write one entity."""
-    if kind == "email":
+    if kind in ("email", "name", "given", "family"):
         return written.lower()
     if kind in ("card", "ssn", "phone"):
         return re.sub(r"\D", "", written)
-    if kind == "iban":
-        return written.replace(" ", "")
-    if kind.startswith("name"):
-        return written.lower()
-    return written
+    return written.replace(" ", "") if kind == "iban" else written
+
+
+def parts(kind: str, written: str) -> list[tuple[str, str]]:
+    """(kind, written) of what gets a surrogate of its own: a name's words, so a person stays one with or without a title and given name."""
+    if kind != "name":
+        return [(kind, written)]
+    given, _, family = written.partition(" ")
+    if family:
+        return [("given", given), ("family", family)]
+    return [("given" if given.lower() in _LISTED else "family", given)]
 
 
 class Surrogates:
@@ -168,11 +187,10 @@ class Surrogates:
         if kind == "iban":
             body = self.letters("iban", own[4:], ("ABCDEFGHIJKLMNOPQRSTUVWXYZ".lower(), "0123456789"))
             return f"{own[:2]}{98 - iban_rest(own[:2] + '00' + body):02d}{body}"
-        if kind.startswith("name"):
-            given, _, family = own.partition(" ")
-            if not family:
-                return self.letters("family", given)
-            return self.given(kind[-1], given) + " " + self.letters("family", family)
+        if kind == "given":
+            return self.given(own)
+        if kind == "family":
+            return self.letters("family", own)
         if kind == "access":
             return own[:4] + self.letters("access", own[4:], ("ABCDEFGHIJKLMNOPQRSTUVWXYZ".lower(), "0123456789"))
         return self.mixed("secret", own)
@@ -192,14 +210,13 @@ class Surrogates:
             out.append(c[k] if c else x)
         return "".join(reversed(out))
 
-    def given(self, gender: str, name: str) -> str:
-        lists = [names for (_, g), names in GIVEN.items() if g == gender or gender == "n"]
-        for names in lists:
+    def given(self, name: str) -> str:
+        """Another name of the same list, so of the same gender and script; names off the lists keep off them."""
+        for names in GIVEN.values():
             if name in names:
-                return names[self.number(f"given{gender}{names[0]}", names.index(name), len(names))]
-        known = {x for names in lists for x in names}
+                return names[self.number(f"given{names[0]}", names.index(name), len(names))]
         out = self.letters("given", name)
-        while out in known:  # names off the lists keep off them
+        while out in _LISTED:
             out = self.letters("given", out)
         return out
 
@@ -209,11 +226,8 @@ class Surrogates:
         if kind in ("card", "ssn", "phone", "iban"):
             rest = iter(form)
             return "".join(next(rest) if x.isalnum() else x for x in written)
-        if kind == "email" or kind.startswith("name"):
-            if kind == "email" and len(form) != len(written):
-                return form
-            parts, shown = written.split(" "), form.split(" ")
-            return " ".join(_capitals(a, b) for a, b in zip(parts, shown))
+        if kind in ("email", "given", "family"):
+            return _capitals(written, form) if kind != "email" or len(form) == len(written) else form
         return form
 
 
@@ -227,32 +241,37 @@ def corpus_entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, form) of each different entity of the corpus."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = {(kind, canonical(kind, t[a:b])) for t in (x.decode() for x in texts(batch.column(0))) for a, b, kind in entities(t)}
+        found = {(k, canonical(k, w)) for t in (x.decode() for x in texts(batch.column(0))) for a, b, kind in entities(t) for k, w in parts(kind, t[a:b])}
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([f for _, f in found], pa.string())], names=["kind", "form"])
 
     return map_slices(docs.select(text_col), 0, "kind string, form string", run).distinct()
 
 
-#: Rounds in which a surrogate must not be an entity of the corpus; later ones, for formats that the corpus exhausts, only ask that no other has it.
-STRICT = 12
+#: Rounds after which a surrogate may be a letter longer than its entity, where the kind allows it, and after which the search gives up.
+WIDEN, ROUNDS = 8, 64
 
 
 def exceptions(known: DataFrame, key: bytes, written: Written) -> DataFrame | None:
     """(kind, form, stand_in) of those entities whose first surrogates are entities of the corpus themselves; None if there are none.
 
     They propose the results of further permutations, one a round, until each has one that is neither an entity nor taken.
+    Given names are few and shared by many people, so they may stand in for each other. Raises if a format has no room left.
     """
 
     def proposed(df: DataFrame, turn: int) -> DataFrame:
         def run(batches):
             maker = Surrogates(key + b"|%d" % turn if turn else key)
             for batch in batches:
-                forms = [maker.next(k, f) for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                forms = []
+                for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    wide = turn > WIDEN and k in ("email", "family", "secret")
+                    forms.append(maker.next(k, "ab"[turn % 2] + f if wide else f))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forms, pa.string())], names=["kind", "form", "stand_in"])
 
         return df.select("kind", "form").mapInArrow(run, "kind string, form string, stand_in string")
 
     by = ["kind", "stand_in"]
+    known = known.where("kind <> 'given'")
     entity = known.select("kind", F.col("form").alias("stand_in"))
     first = written(proposed(known, 0))
     waiting = written(first.join(entity, by, "left_semi"))
@@ -261,9 +280,12 @@ def exceptions(known: DataFrame, key: bytes, written: Written) -> DataFrame | No
     used, found, turn = first.join(entity, by, "left_anti").select(by), None, 0
     while waiting.limit(1).count():
         turn += 1
+        if turn > ROUNDS:
+            raise ValueError(f"no surrogate is left for entities such as those of kind {waiting.first().kind}")
         now = written(proposed(waiting, turn))
-        bars = used.union(entity.select(by)) if turn < STRICT else used
-        free = written(now.join(bars, by, "left_anti"))
+        free = now.join(used.union(entity.select(by)), by, "left_anti")
+        # of two that propose one form, as permutations of different lengths may, the least gets it
+        free = written(free.groupBy(by).agg(F.min("form").alias("form")).select("kind", "form", "stand_in"))
         waiting = written(now.join(free, ["kind", "form"], "left_anti"))
         used = used.union(free.select(by))
         found = free if found is None else found.union(free)
@@ -273,7 +295,8 @@ def exceptions(known: DataFrame, key: bytes, written: Written) -> DataFrame | No
 def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = "n_entities", length_col: str | None = None) -> DataFrame:
     """docs with every entity of text_col replaced; count_col tells how many, length_col (if given) becomes the new length.
 
-    Null texts stay null; texts without entities stay as they are.
+    Null texts stay null; texts without entities stay as they are. Repeated rows are treated each alike;
+    a column of docs named count_col is replaced.
     """
     spark = docs.sparkSession
     written = Written(spark)
@@ -284,7 +307,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
     at = names.index(text_col)
     walks = special is not None
     if walks:
-        docs = _with_exceptions(docs, special, text_col, "_stand_ins")
+        docs = _with_exceptions(docs, special, text_col, "".join(names) + "_")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         maker, memo, out, counts = Surrogates(key), {}, [], []
@@ -296,18 +319,21 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
                 out.append(None)
                 counts.append(0)
                 continue
-            text, parts, end, n = t.decode(), [], 0, 0
+            text, pieces, end, n = t.decode(), [], 0, 0
             own = dict(pairs or ())
             for a, b, kind in entities(text):
-                form = canonical(kind, text[a:b])
-                new = own.get(f"{kind} {form}")
-                if new is None:
-                    if (kind, form) not in memo:
-                        memo[kind, form] = maker.next(kind, form)
-                    new = memo[kind, form]
-                parts += [text[end:a], maker.write(kind, text[a:b], new)]
+                shown = []
+                for part, word in parts(kind, text[a:b]):
+                    form = canonical(part, word)
+                    new = own.get(f"{part} {form}")
+                    if new is None:
+                        if (part, form) not in memo:
+                            memo[part, form] = maker.next(part, form)
+                        new = memo[part, form]
+                    shown.append(maker.write(part, word, new))
+                pieces += [text[end:a], " ".join(shown)]
                 end, n = b, n + 1
-            out.append("".join([*parts, text[end:]]) if parts else text)
+            out.append("".join([*pieces, text[end:]]) if pieces else text)
             counts.append(n)
         columns = [pa.array(out, column.type) if i == at else batch.column(i) for i in range(len(names))]
         if length_col in names:
@@ -330,7 +356,7 @@ def _with_exceptions(docs: DataFrame, special: DataFrame, text_col: str, name: s
         shas, kinds, forms = [], [], []
         for raw in texts(batch.column(0)):
             t = raw.decode()
-            for kind, form in {(k, canonical(k, t[a:b])) for a, b, k in entities(t)}:
+            for kind, form in {(k, canonical(k, w)) for a, b, whole in entities(t) for k, w in parts(whole, t[a:b])}:
                 shas.append(hashlib.sha256(raw).digest())
                 kinds.append(kind)
                 forms.append(form)
@@ -338,5 +364,6 @@ def _with_exceptions(docs: DataFrame, special: DataFrame, text_col: str, name: s
 
     held = map_slices(docs.select(text_col), 0, "_sha binary, kind string, form string", run).distinct().join(special, ["kind", "form"])
     maps = held.groupBy("_sha").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(" ", "kind", "form"), "stand_in"))).alias(name))
-    shas = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
-    return shas.join(maps, "_sha", "left").select(*docs.columns, name)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # no name of docs can clash
+    sha = F.unhex(F.sha2(F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit("")).cast("binary"), 256))
+    return plain.withColumn("_sha", sha).join(maps, "_sha", "left").select(*plain.columns, name).toDF(*docs.columns, name)
