@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs in one process, as in tests, a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -117,20 +117,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id and text kept has as id_col and text_sha256, each pair once."""
-    mine = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    chosen = kept.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__kept"))
-    out = mine.join(chosen, mine[id_col].eqNullSafe(chosen["__id"]) & (mine["__sha"] == chosen["__kept"]), "left_semi")
-    return out
+    """The rows of docs, with their hash as sha, whose id and text kept has as id_col and text_sha256; columns are called c0, c1 and so on, so no name can clash."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, text_at = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    mine = plain.withColumn("sha", F.sha2(F.coalesce(F.col(text_at), F.lit("")).cast("binary"), 256))
+    chosen = kept.select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    return mine.join(chosen, mine[at].eqNullSafe(chosen["kept_id"]) & (mine["sha"] == chosen["kept_sha"]), "left_semi")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without exact duplicates, all columns kept; equal rows of one id stay once."""
+    """docs without exact duplicates, all columns kept whatever their names; equal rows of one id stay once."""
     written = Written(docs.sparkSession)
     found = written(exact_duplicates(docs, id_col, text_col))
     stay = found.where("kept")
     out = keep_rows(docs, stay, id_col, text_col)
     repeated = found.where("group_size > 1").groupBy(id_col, "text_sha256").count().where("count > 1")
     if repeated.limit(1).count():
-        out = out.dropDuplicates([id_col, "__sha"])
-    return out.drop("__sha")
+        out = out.dropDuplicates([f"c{docs.columns.index(id_col)}", "sha"])
+    return out.drop("sha").toDF(*docs.columns)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, map_slices, texts
@@ -388,19 +388,32 @@ def repeated_segments(reps: DataFrame, length: int, written: Written, most: int
     return table.mapInArrow(sort, RUN_SCHEMA).groupBy("range").applyInPandas(merged, "k long, tid int, a long, b long")
 
 
+def text_number(docs: DataFrame, k: Column, text: Column, tries: int = 64) -> Column:
+    """A number of 16 bits that tells the different texts of one id apart; raises if an id has so many that no hash does."""
+    for seed in range(tries):
+        number = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(65536)).cast("int")
+        both = docs.select(k.alias("k"), number.alias("n"), F.xxhash64(text, F.lit(-1)).alias("h")).groupBy("k", "n").agg((F.min("h") < F.max("h")).alias("clash"))
+        if not both.where("clash").limit(1).count():
+            return number
+    raise ValueError("an id has too many different texts")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, crowd: int = CROWD) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept, kept_sha256) of each row.
 
     A byte goes if a string of length bytes covers it that also starts earlier: in a row of
     smaller id, or earlier in its own. Ids are integers; null ones count as the
     largest. Rows of one id are one document: the same place in them is not earlier. Null texts are empty.
+    Whole runs count as equal if two 64-bit hashes of different kinds are, of their anchor and of all their bytes.
     """
     if not GRAM < length <= GRAM + 255:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 255}")
     written = Written(docs.sparkSession)
     k = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(k.alias("k"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tid"), text.alias("text"))
+    repeated_ids = docs.groupBy(k).count().where("count > 1").limit(1).count() > 0
+    tid_of = text_number(docs, k, text) if repeated_ids else F.lit(0)
+    own = docs.select(k.alias("k"), tid_of.alias("tid"), text.alias("text"))
     often, often_path = written.table(grams(own, length).groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram"))
     found = written(runs(own, length).join(often, "gram", "left_semi"))
     written.drop(often_path)
@@ -418,7 +431,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         found = own.join(by_text, ["k", "tid"]).select("k", "tid", "text", "ats")
         return found.dropDuplicates(["k", "tid"]) if repeated_ids else found
 
-    repeated_ids = docs.groupBy(k).count().where("count > 1").limit(1).count() > 0
     single = repeated_segments(with_text(reps.where(~F.col("crowded"))), length, written)
     if several.where(F.col("n") > crowd).limit(1).count():
         crowded = repeated_strings(written(with_text(reps.where("crowded"))), length, written)
@@ -426,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = whole.union(single).groupBy("k", "tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most as many as the text has bytes
     spans = written(spans)
     written.release()
-    base = docs.select(F.col(id_col).alias("id"), k.alias("k"), F.pmod(F.xxhash64(text), F.lit(65536)).cast("int").alias("tid"), text.alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), k.alias("k"), tid_of.alias("tid"), text.alias("text"))
     joined = base.join(spans, ["k", "tid"], "left").select("id", "text", "spans")
     kind = dict(base.dtypes)["id"]
 
