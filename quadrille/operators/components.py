@@ -5,6 +5,7 @@ A region's id is its least row * width + column, so results don't depend on tili
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.numeric import tile
 
 CELL = ["row", "col"]
-ROUNDS = 60
 
 
 def _label(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -51,6 +51,8 @@ def _cut(df: DataFrame, path: str) -> DataFrame:
 def shared_folder(spark) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/regions-{uuid.uuid4().hex}"
@@ -61,15 +63,15 @@ def merge_labels(edges: DataFrame, folder: str) -> DataFrame:
     e = edges.where("u <> v")
     both = _cut(e.select("u", "v").union(e.select("v", "u")).distinct(), f"{folder}/edges")
     now = _cut(both.groupBy(F.col("u").alias("label")).agg(F.least(F.min("v"), F.first("u")).alias("root")), f"{folder}/0")
-    for k in range(1, ROUNDS):
+    k, changed = 0, True
+    while changed:  # every round at least doubles how far the least label has come
+        k += 1
         near = both.join(now.toDF("v", "r"), "v").groupBy(F.col("u").alias("label")).agg(F.min("r").alias("r"))
         step = now.join(near, "label").select("label", F.least("root", "r").alias("root"))
         jump = step.join(step.select(F.col("label").alias("root"), F.col("root").alias("far")), "root", "left").select("label", F.least("root", F.coalesce("far", "root")).alias("new"))
         new = _cut(now.join(jump, "label").select("label", "root", "new"), f"{folder}/{k}")
         changed = new.where("new <> root").limit(1).count()
         now = new.select("label", F.col("new").alias("root"))
-        if not changed:
-            break
     return now
 
 
