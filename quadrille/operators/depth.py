@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_sums
+
 CELL = ["row", "col"]
 
 
@@ -35,24 +37,32 @@ def band_stats(long: DataFrame) -> DataFrame:
 def ecdf(wide: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Each different value with the share of cells up to it."""
     by = by or []
-    counts = wide.groupBy(*by, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)  # over different values only
-    total = Window.partitionBy(*by) if by else Window.partitionBy()
-    return counts.select(*by, value, (F.sum("n").over(order) / F.sum("n").over(total)).alias("q"))
+    counts = wide.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    summed = running_sums(counts, {"_upto": F.col("_n")}, [value], by)
+    totals = wide.groupBy(*by).agg(F.count("*").alias("_all"))
+    joined = summed.join(totals, by) if by else summed.crossJoin(F.broadcast(totals))  # one row
+    return joined.select(*by, value, (F.col("_upto") / F.col("_all")).alias("q"))
 
 
 def histogram_match(source: DataFrame, template: DataFrame, value: str = "value") -> DataFrame:
     """source with matched: its value's quantile read off the template's distribution, between values linearly.
 
-    Both distributions are reduced to different values before any ordered window.
+    Both distributions are reduced to different values. Quantiles are looked up in buckets of equal width, and what
+    a bucket lacks comes from the nearest bucket that has template values.
     """
     s, t = ecdf(source, value).withColumnRenamed(value, "sv"), ecdf(template, value).withColumnRenamed(value, "tv")
     both = s.select("q", "sv", F.lit(None).cast("double").alias("tv"), F.lit(1).alias("k")).unionByName(t.select("q", F.lit(None).cast("double").alias("sv"), "tv", F.lit(0).alias("k")))
-    w = Window.orderBy("q", "k")
+    n = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumn("_b", F.floor(F.col("q") * n).cast("int"))
     pair = F.when(F.col("tv").isNotNull(), F.struct("q", "tv"))
-    below = F.last(pair, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ends = both.groupBy("_b").agg(F.min(pair).alias("_first"), F.max(pair).alias("_last"))
+    along = Window.orderBy("_b")  # a row a bucket
+    ends = ends.select("_b", F.max("_last").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.min("_first").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    both = both.join(ends, "_b")
+    w = Window.partitionBy("_b").orderBy("q", "k")
+    below = F.coalesce(F.last(pair, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_before")
     # a template value at the same quantile stands before the source's, so it is found below
-    above = F.first(pair, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    above = F.coalesce(F.first(pair, True).over(w.rowsBetween(0, Window.unboundedFollowing)), "_after")
     found = both.select("sv", "q", below.alias("lo"), above.alias("hi")).where("sv is not null")
     lo, hi = F.col("lo"), F.col("hi")
     value_of = (

@@ -124,8 +124,8 @@ def non_maximum(wide: DataFrame, value: str, gx: str, gy: str) -> DataFrame:
     angle = F.degrees(F.atan2(F.col(gy), F.col(gx)))
     angle = F.when(angle < 0, angle + 180).otherwise(angle)
     at = lambda r, c: F.col(f"n_{r}_{c}".replace("-", "m"))
-    first = F.when((angle < 22.5) | (angle >= 157.5), at(0, 1)).when(angle < 67.5, at(1, 1)).when(angle < 112.5, at(1, 0)).otherwise(at(1, -1))
-    second = F.when((angle < 22.5) | (angle >= 157.5), at(0, -1)).when(angle < 67.5, at(-1, -1)).when(angle < 112.5, at(-1, 0)).otherwise(at(-1, 1))
+    first = F.when((angle < 22.5) | (angle >= 157.5), at(0, 1)).when(angle < 67.5, at(1, -1)).when(angle < 112.5, at(1, 0)).otherwise(at(-1, -1))
+    second = F.when((angle < 22.5) | (angle >= 157.5), at(0, -1)).when(angle < 67.5, at(-1, 1)).when(angle < 112.5, at(-1, 0)).otherwise(at(1, 1))
     return n.select(*CELL, F.when((at(0, 0) >= first) & (at(0, 0) >= second), at(0, 0)).otherwise(0.0).alias("value"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import tile
+from .ordered import running_sums
 from .zonal import join_zones
 
 CELL = ["row", "col"]
@@ -331,7 +332,7 @@ def merge_regions(edges: DataFrame, threshold: float) -> DataFrame:
 
 def relabel(labels: DataFrame) -> DataFrame:
     """Labels numbered from 1 in their order; only different labels are ordered."""
-    names = labels.select("label").where("label <> 0").distinct().select("label", F.row_number().over(Window.orderBy("label")).alias("new"))
+    names = running_sums(labels.select("label").where("label <> 0").distinct(), {"new": F.lit(1)}, ["label"])
     return labels.join(names, "label", "left").withColumn("label", F.coalesce("new", F.lit(0)).cast("int")).drop("new")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import divide, sigmoid
+from .ordered import running_sums
 
 
 def regression(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -43,8 +44,23 @@ def accuracy(df: DataFrame, logit: str, target: str) -> DataFrame:
 
 
 def running_mean(df: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.avg(value).over(w))
+    """df with running: the mean of value over the rows of by up to each, along an order whose first column is numeric."""
+    sums = running_sums(df, {"_total": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "_count": F.col(value).isNotNull().cast("long")}, order, [by])
+    return sums.withColumn("running", F.when(F.col("_count") > 0, F.col("_total") / F.col("_count"))).drop("_total", "_count")
+
+
+def multi_loss(df: DataFrame, outputs: list[str], target: str, weight: float = 0.0, class_weights: list[float] | None = None, eps: float = 1e-15) -> DataFrame:
+    """(1 - weight) times the mean negative log likelihood, less weight times the log of each class's soft Jaccard index. outputs are log probabilities by class."""
+    t, own = F.col(target), F.lit(None).cast("double")
+    heavy = F.lit(None).cast("double")
+    for k, c in enumerate(outputs):
+        own, heavy = F.when(t == k, F.col(c)).otherwise(own), F.when(t == k, F.lit(float((class_weights or [1.0] * len(outputs))[k]))).otherwise(heavy)
+    loss = -(1 - weight) * F.sum(heavy * own) / F.sum(heavy)
+    for k, c in enumerate(outputs if weight else []):
+        p, hit = F.exp(c), (t == k).cast("double")
+        both, total = F.sum(p * hit), F.sum(p) + F.sum(hit)
+        loss = loss - weight * F.log((both + eps) / (total - both + eps))
+    return df.agg(loss.alias("loss"))
 
 
 def binary_loss(df: DataFrame, logit: str, target: str, weight: float = 0.3, eps: float = 1e-15) -> DataFrame:

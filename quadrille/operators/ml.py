@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from .ordered import running_sums
 from .zonal import join_zones
 
 # --- training sets ---
@@ -37,8 +38,9 @@ def group_fold(key: Column, k: int) -> Column:
 
 
 def stratified_fold(df: DataFrame, label: str, order: list[str], k: int, name: str = "fold") -> DataFrame:
-    """Folds dealt in turn within each class. Classes are as few as a map legend has."""
-    return df.withColumn(name, ((F.row_number().over(Window.partitionBy(label).orderBy(*order)) - 1) % k).cast("int"))
+    """Folds dealt in turn within each class, along an order whose first column is numeric."""
+    placed = running_sums(df, {"_place": F.lit(1)}, order, [label])
+    return placed.withColumn(name, ((F.col("_place") - 1) % k).cast("int")).drop("_place")
 
 
 def split(key: Column, test: float, validation: float) -> Column:
@@ -56,7 +58,13 @@ def scaled(df: DataFrame, features: list[str], kind: str) -> DataFrame:
         norm = F.sqrt(sum((F.col(f) * F.col(f) for f in features[1:]), F.col(features[0]) * F.col(features[0])))
         return df.withColumn("_n", norm).withColumns({f: F.when(F.col("_n") > 0, F.col(f) / F.col("_n")).otherwise(0.0) for f in features}).drop("_n")
     if kind == "quantile":
-        return df.withColumns({f: F.percent_rank().over(Window.orderBy(f)) for f in features})
+        total = df.count()
+        for f in features:
+            counts = df.groupBy(f).agg(F.count("*").alias("_n"))
+            below = running_sums(counts, {"_upto": F.col("_n")}, [f]).select(F.col(f).alias("_v"), ((F.col("_upto") - F.col("_n")) / max(1, total - 1)).alias("_r"))
+            others = [c for c in df.columns if c != f]
+            df = df.join(below, F.col(f).eqNullSafe(F.col("_v"))).select(*others, F.col("_r").alias(f)).select(*df.columns)
+        return df
     known = {"standard": lambda f: (F.avg(f), F.stddev_pop(f)), "minmax": lambda f: (F.min(f), F.max(f) - F.min(f)), "maxabs": lambda f: (F.lit(0.0), F.max(F.abs(f)))}
     if kind not in known:
         raise ValueError(f"unknown scaler {kind!r}")
@@ -75,14 +83,15 @@ CLASSIFIERS = {
     "mlp": lambda seed: MultilayerPerceptronClassifier(seed=seed),
 }
 REGRESSORS = {"rf": lambda seed: RandomForestRegressor(numTrees=20, seed=seed), "gb": lambda seed: GBTRegressor(maxIter=10, seed=seed), "linear": lambda seed: LinearRegression()}
-#: Kinds that pyspark.ml has no learner of their own for.
-ALIASES = {"erf": "rf", "xgb": "gb", "lgbm": "gb", "hgb": "gb", "svm": "linsvc", "nusvc": "linsvc"}
+#: Kinds that pyspark.ml has no learner for, and the one nearest to each.
+NEAREST = {"erf": "rf", "xgb": "gb", "lgbm": "gb", "hgb": "gb", "svm": "linsvc", "nusvc": "linsvc"}
 SCALERS = {"standard": StandardScaler, "minmax": MinMaxScaler, "l2": Normalizer, "maxabs": MaxAbsScaler}
 
 
 def pipeline(features: list[str], kind: str = "rf", scaler: str | None = None, regression: bool = False, seed: int = 0) -> Pipeline:
     models = REGRESSORS if regression else CLASSIFIERS
-    kind = ALIASES.get(kind, kind)
+    if kind in NEAREST:
+        raise ValueError(f"there is no learner {kind!r} here; {NEAREST[kind]!r} is the nearest")
     if kind not in models:
         raise ValueError(f"unknown model {kind!r}")
     stages = [VectorAssembler(inputCols=features, outputCol="raw" if scaler else "features")]
@@ -112,6 +121,54 @@ def create_model(train: DataFrame, features: list[str], kind: str = "rf", scaler
     return model, scores
 
 
+def search(train: DataFrame, features: list[str], settings: dict[str, list], kind: str = "rf", regression: bool = False, folds: int = 3, group: str | None = None, seed: int = 0) -> tuple[PipelineModel, list[dict]]:
+    """The best of all combinations of a learner's parameters by cross-validated score, fitted on all rows, and every combination's score.
+
+    settings maps names of pyspark.ml parameters to their values; of equal scores the first combination wins.
+    """
+    from itertools import product
+
+    key = F.col(group) if group else F.concat_ws("|", *[F.col(f).cast("string") for f in features])
+    data = train.withColumn("_fold", group_fold(key, folds))
+    judge = RegressionEvaluator(metricName="r2") if regression else MulticlassClassificationEvaluator(metricName="accuracy")
+    used = [r["_fold"] for r in data.groupBy("_fold").count().collect()]  # a row a fold
+    scores = []
+
+    def fitted(chosen: dict, rows: DataFrame) -> PipelineModel:
+        plan = pipeline(features, kind, None, regression, seed)
+        learner = plan.getStages()[-1]
+        for name, value in chosen.items():
+            learner.set(learner.getParam(name), value)
+        return plan.fit(rows)
+
+    for values in product(*settings.values()):
+        chosen = dict(zip(settings, values))
+        got = [judge.evaluate(fitted(chosen, data.where(F.col("_fold") != k)).transform(data.where(F.col("_fold") == k))) for k in sorted(used)] if len(used) > 1 else [0.0]
+        scores.append(chosen | {"score": sum(got) / len(got)})
+    best = max(scores, key=lambda r: r["score"])
+    return fitted({k: v for k, v in best.items() if k != "score"}, train), scores
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """A fitted model in a folder; replaces one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def save_training(train: DataFrame, path: str) -> DataFrame:
+    """A training set as Parquet, read again."""
+    train.write.mode("overwrite").parquet(path)
+    return train.sparkSession.read.schema(train.schema).parquet(path)
+
+
+def columns_with(df: DataFrame, parts: list[str]) -> list[str]:
+    """The columns whose names hold one of the parts, in their order, such as those of a polarisation."""
+    return [c for c in df.columns if any(p in c for p in parts)]
+
+
 def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
     """df with a prediction; features that aren't finite count as 0."""
     return model.transform(df.withColumns({f: F.when(finite(F.col(f).cast("double")), F.col(f).cast("double")).otherwise(0.0) for f in features})).drop("raw", "features", "rawPrediction")
@@ -150,7 +207,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
     for f in features:
         drops = []
         for s in seeds:
-            n = 16
+            n = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
             bucket = F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.lit(n))
             left = own.drop(f).withColumn("_b", bucket).withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key)))))
             right = own.select(F.col(f), bucket.alias("_b"), F.row_number().over(Window.partitionBy(bucket).orderBy(F.xxhash64(F.col(key), F.lit(s + 1)))).alias("_k"))
@@ -166,11 +223,19 @@ def centroids(train: DataFrame, label: str, features: Column | str) -> DataFrame
 
 
 def nearest_centroid(df: DataFrame, centres: DataFrame, key: str, features: Column | str) -> DataFrame:
-    """(key, predicted): the class whose mean vector is nearest. Centres are a row for each class: as few as a legend has."""
+    """(key, predicted): the class whose mean vector is nearest, the least of equally near ones.
+
+    All centres are one row, as many as a legend has classes, so no row meets them in a shuffle.
+    """
     vectors = centres.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("m"))
-    far = F.aggregate(F.zip_with(F.col("f"), F.col("m"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    pairs = df.select(F.col(key), F.col(features).alias("f") if isinstance(features, str) else features.alias("f")).crossJoin(F.broadcast(vectors)).select(key, "label", F.round(far, 9).alias("d"))
-    return pairs.groupBy(key).agg(F.min(F.struct("d", "label")).alias("best")).select(key, F.col("best.label").alias("predicted"))
+    one = vectors.agg(F.collect_list(F.struct("label", "m")).alias("_all"))
+    rows = df.select(F.col(key), F.col(features).alias("f") if isinstance(features, str) else features.alias("f")).crossJoin(F.broadcast(one))
+
+    def far(c: Column) -> Column:
+        return F.aggregate(F.zip_with(F.col("f"), c["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+
+    near = F.array_min(F.transform("_all", lambda c: F.struct(F.round(far(c), 9).alias("d"), c["label"].alias("label"))))
+    return rows.select(key, near["label"].alias("predicted"))
 
 
 def vote(predictions: list[DataFrame], key: str, value: str) -> DataFrame:

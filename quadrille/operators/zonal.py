@@ -88,7 +88,7 @@ def rgb_indices(r: Column, g: Column, b: Column) -> dict[str, Column]:
     r, g, b = divide(r, total), divide(g, total), divide(b, total)
     return {
         "ExG": 2 * g - (r - b), "ExR": 1.4 * r - g, "ExGR": 2 * g - (r - b) - (1.4 * r - g), "CIVE": 0.441 * r - 0.811 * g + 0.385 * b + 18.78745, "NDI": divide(g - r, g + r),
-        "RGBVI": divide(g * g - b * r, g * g + b * r), "VARI": divide(g - r, g + r) - b, "ARI": divide(F.lit(1.0), g * r), "RGBI": divide(r, g),
+        "RGBVI": divide((g * g - b) * r, (g * g + b) * r), "VARI": divide(g - r, g + r) - b, "ARI": divide(F.lit(1.0), g * r), "RGBI": divide(r, g),
         "GLI": divide((g - r) + (g - b), 2 * g) + r + b, "TGL": (g - 0.39) * (r - 0.61) * b,
     }
 

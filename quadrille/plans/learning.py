@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
-from ..operators import metrics, ml
+from ..operators import metrics, ml, tiles
 from .base import emb, grid, query, table, with_, zones
 
 CELL = ["row", "col"]
@@ -148,13 +148,12 @@ def importance_rank(spark, d):
     return long.select("feature", F.row_number().over(Window.orderBy(F.desc("spread"), "feature")).alias("rank"))  # a row a feature
 
 
-@query("cv_sort", "SELECT o_orderkey AS setting, row_number() OVER (ORDER BY o_orderpriority, o_totalprice, o_orderkey) AS place FROM orders WHERE o_custkey < 20")
+@query("cv_sort", "SELECT o_orderkey AS setting, row_number() OVER (ORDER BY o_orderpriority, o_totalprice, o_orderkey) AS place FROM orders")
 def cv_sort(spark, d):
     """Results ordered by rank and then fitting time."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "orders").where("o_custkey < 20")
-    return rows.select(F.col("o_orderkey").alias("setting"), F.row_number().over(Window.orderBy("o_orderpriority", "o_totalprice", "o_orderkey")).alias("place"))
+    group = F.struct("o_orderpriority", F.floor(F.col("o_totalprice") / 1000))
+    rows = tiles.sequential(table(spark, d, "orders"), group, ["o_orderpriority", "o_totalprice", "o_orderkey"], "place", first=1)
+    return rows.select(F.col("o_orderkey").alias("setting"), "place")
 
 
 @query("best_param", "SELECT arg_min(p_size, (e, p_size)) AS setting, round(min(e), 6) AS error FROM (SELECT p_size, round(avg(p_retailprice), 6) AS e FROM part GROUP BY p_size)")
@@ -241,6 +240,19 @@ def loss_binary(spark, d):
     return metrics.binary_loss(logits(spark, d), "x", "t").select(r6(F.col("loss")).alias("loss"))
 
 
+MULTI = "WITH z AS (SELECT vec_id, label % 3 AS t, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), n AS (SELECT *, ln(exp(a) + exp(b) + exp(c)) AS s FROM z), p AS (SELECT t, a - s AS l0, b - s AS l1, c - s AS l2 FROM n) "
+_JACCARD = " - 0.3 * ln((sum(CASE WHEN t = {k} THEN exp(l{k}) ELSE 0 END) + 1e-15) / (sum(exp(l{k})) + count(*) FILTER (t = {k}) - sum(CASE WHEN t = {k} THEN exp(l{k}) ELSE 0 END) + 1e-15))"
+
+
+@query("loss_multi", MULTI + "SELECT round(-0.7 * sum(CASE t WHEN 0 THEN l0 WHEN 1 THEN 2 * l1 ELSE 3 * l2 END) / sum(t + 1)" + "".join(_JACCARD.format(k=k) for k in range(3)) + ", 6) AS loss FROM p")
+def loss_multi(spark, d):
+    """The loss of many classes, on the log softmax of three values."""
+    x = [F.col("e")[i] for i in range(3)]
+    total = F.log(sum((F.exp(v) for v in x[1:]), F.exp(x[0])))
+    rows = emb(spark, d).select((F.col("label") % 3).alias("t"), *[(v - total).alias(f"l{i}") for i, v in enumerate(x)])
+    return metrics.multi_loss(rows, ["l0", "l1", "l2"], "t", 0.3, [1.0, 2.0, 3.0]).select(r6(F.col("loss")).alias("loss"))
+
+
 @query("running_mean", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS running FROM events")
 def running_mean(spark, d):
     return metrics.running_mean(table(spark, d, "events"), "event_type", ["event_id"], "value").select("event_id", r6(F.col("running")).alias("running"))

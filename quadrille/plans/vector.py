@@ -24,12 +24,12 @@ def focal_mean3(spark, d):
 @query(
     "multitemp_filter",
     with_("cube")
-    + ", e AS (SELECT band, min(value) AS lo, max(value) AS hi FROM cube WHERE band <= 1997 GROUP BY band), s AS (SELECT r, c, band, (value - lo) / (hi - lo) * 255 AS v FROM cube JOIN e USING (band)), "
+    + ", e AS (SELECT band, min(value) AS lo, max(value) AS hi FROM cube GROUP BY band), s AS (SELECT r, c, band, (value - lo) / (hi - lo) * 255 AS v FROM cube JOIN e USING (band)), "
     + "l AS (SELECT a.r, a.c, a.band, max(a.v) AS v, avg(b.v) AS m FROM s a JOIN s b ON a.band = b.band AND abs(a.r - b.r) <= 3 AND abs(a.c - b.c) <= 3 GROUP BY 1, 2, 3), "
     + f"q AS (SELECT *, avg(CASE WHEN m > 0 THEN v / m END) OVER (PARTITION BY r, c) AS ratio FROM l) SELECT {RC}, band, round(m * coalesce(ratio, 0), 6) + 0.0 AS value FROM q",
 )
 def multitemp_filter(spark, d):
-    return focal.multitemp_filter(cube(spark, d).where("band <= 1997")).withColumn("value", r6(F.col("value")))
+    return focal.multitemp_filter(cube(spark, d)).withColumn("value", r6(F.col("value")))
 
 
 _N = ", ".join(f"max(CASE WHEN b.r - a.r = {r} AND b.c - a.c = {c} THEN b.b1 END) AS {n}" for n, (r, c) in zip("abcdefghi", focal.square(3)))
@@ -69,7 +69,7 @@ def sobel(spark, d):
     "nms",
     NINE
     + ", t AS (SELECT r, cc, b, d, f, h, a, c_, g, i, e, degrees(atan2(n_y, n_x)) AS deg FROM (SELECT *, e - d AS n_x, e - b AS n_y FROM g)), u AS (SELECT *, CASE WHEN deg < 0 THEN deg + 180 ELSE deg END AS an FROM t) "
-    + 'SELECT r AS "row", cc AS col, CASE WHEN e >= CASE WHEN an < 22.5 OR an >= 157.5 THEN f WHEN an < 67.5 THEN i WHEN an < 112.5 THEN h ELSE g END AND e >= CASE WHEN an < 22.5 OR an >= 157.5 THEN d WHEN an < 67.5 THEN a WHEN an < 112.5 THEN b ELSE c_ END THEN e ELSE 0 END AS value FROM u',
+    + 'SELECT r AS "row", cc AS col, CASE WHEN e >= CASE WHEN an < 22.5 OR an >= 157.5 THEN f WHEN an < 67.5 THEN g WHEN an < 112.5 THEN h ELSE a END AND e >= CASE WHEN an < 22.5 OR an >= 157.5 THEN d WHEN an < 67.5 THEN c_ WHEN an < 112.5 THEN b ELSE i END THEN e ELSE 0 END AS value FROM u',
 )
 def nms(spark, d):
     n = focal.neighbourhood(dense(spark, d), "b1", focal.square(3)).na.drop()

@@ -104,7 +104,7 @@ def zonal_filtered(spark, d):
 
 _RGB = {
     "ExG": "2 * g - (r_ - b)", "ExR": "1.4 * r_ - g", "ExGR": "2 * g - (r_ - b) - (1.4 * r_ - g)", "CIVE": "0.441 * r_ - 0.811 * g + 0.385 * b + 18.78745", "NDI": "(g - r_) / (g + r_)",
-    "RGBVI": "(g * g - b * r_) / (g * g + b * r_)", "VARI": "(g - r_) / (g + r_) - b", "ARI": "1 / (g * r_)", "RGBI": "r_ / g", "GLI": "((g - r_) + (g - b)) / (2 * g) + r_ + b", "TGL": "(g - 0.39) * (r_ - 0.61) * b",
+    "RGBVI": "((g * g - b) * r_) / ((g * g + b) * r_)", "VARI": "(g - r_) / (g + r_) - b", "ARI": "1 / (g * r_)", "RGBI": "r_ / g", "GLI": "((g - r_) + (g - b)) / (2 * g) + r_ + b", "TGL": "(g - 0.39) * (r_ - 0.61) * b",
 }
 
 
