@@ -96,9 +96,17 @@ def perimeter_mask(spark, d):
     return focal.perimeter(dense(spark, d), "b4")
 
 
-@query("gaussian")
+_SMOOTH = "SELECT {t}.r, {t}.c, sum(b.{v} * w) / sum(w) AS v FROM {t} CROSS JOIN w JOIN {t} b ON b.r = {t}.r + {dr} AND b.c = {t}.c + {dc} GROUP BY 1, 2"
+
+
+@query(
+    "gaussian",
+    with_("dense")
+    + ", w AS (SELECT k, exp(-0.5 * k * k) AS w FROM (SELECT unnest(range(-4, 5)) AS k)), "
+    + f"down AS ({_SMOOTH.format(t='dense', v='b1', dr='k', dc=0)}), across AS ({_SMOOTH.format(t='down', v='v', dr=0, dc='k')}) SELECT {RC}, round(v, 6) + 0.0 AS b1 FROM across",
+)
 def gaussian(spark, d):
-    return focal.gaussian(dense(spark, d), "b1", 1.0)
+    return focal.gaussian(dense(spark, d), "b1", 1.0).withColumn("b1", r6(F.col("b1")))
 
 
 @query("canny")
