@@ -33,16 +33,16 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
-def common_shingles(docs: DataFrame, text_col: str, width: int, written: Written, total: int, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, text_col: str, width: int, written: Written, one_in: int = 4, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample of texts shows to be common, sorted, and how often it has them.
 
-    They only order shingles, rare ones first; any order gives the same pairs, a good one fewer to check.
+    They only order shingles, rare ones first; any order gives the same pairs, a good one fewer to check. The sample is one text
+    in so many, told by a hash, so that a shingle of more than HOT texts is hardly missed; of shingles, the `most` commonest are gathered.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, width) for t in texts(batch.column(0))]))], names=["gram"])
 
-    one_in = max(1, min(16, total // 16384))
     some = docs.select(text_col).where(F.pmod(F.xxhash64(text_col, F.lit(1)), F.lit(one_in)) == 0)
     counts, path = written.table(map_slices(some, 0, "gram long", run).groupBy("gram").agg(F.count("*").alias("n")).where("n > 2"))
     left, least = most, 3
@@ -228,7 +228,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     written = Written(docs.sparkSession)
     key = text_keys(docs, text_col, written)
     rows = docs.select(F.col(id_col).alias("id"), key.alias("text_key"), F.col(text_col).alias("text"))
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, "text", width, written, rows.count()))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, "text", width, written))
 
     def begin(batch: pa.RecordBatch) -> pa.RecordBatch:
         prints, sizes, firsts = [], [], []
