@@ -221,3 +221,22 @@ def test_streams(spark, tmp_path):
         assert spark.sql("SELECT count(*) c, sum(n) n FROM daily").first() == (5, 100)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_search_saving_and_refused_learners(spark, tmp_path):
+    from quadrille.operators import ml
+
+    rows = [(float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(80)]
+    train = spark.createDataFrame(rows, "a double, b double, label double")
+    model, scores = ml.search(train, ["a", "b"], {"maxDepth": [0, 3], "numTrees": [3]})
+    assert len(scores) == 2 and scores[1]["score"] > scores[0]["score"]
+    ml.save_model(model, str(tmp_path / "m"))
+    again = ml.predict(ml.load_model(str(tmp_path / "m")), train, ["a", "b"])
+    assert again.where("prediction <> label").count() == 0
+    assert ml.save_training(train, str(tmp_path / "t")).count() == 80
+    assert ml.columns_with(train.toDF("VV1", "x", "VH"), ["VV", "VH"]) == ["VV1", "VH"]
+    try:
+        ml.pipeline(["a"], "svm")
+        raise AssertionError("svm is no learner here")
+    except ValueError as refused:
+        assert "linsvc" in str(refused)
