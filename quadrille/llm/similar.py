@@ -22,8 +22,8 @@ from .simhash import majority, near_links, shingle_hashes
 
 #: Texts of a shingle beyond which its pairs are not listed but compared cell by cell, and texts of one side of a cell.
 HOT, CELL = 32, 512
-#: Crowded shingles that are moved to the end of the order at most; others are left to the cells. Bits, as a power of two, of the map that tells which shingles the moved texts begin with.
-MOVED, BITS = 1 << 18, 25
+#: Crowded shingles that are moved to the end of the order at most; others are left to the cells.
+MOVED = 1 << 18
 #: Shingles for each of a text's that a pair must share beyond the first.
 SHARE = 0.05
 
@@ -195,23 +195,6 @@ def moved_last(common: tuple[np.ndarray, np.ndarray], gram: np.ndarray, n: np.nd
     return grams[order], often[order]
 
 
-def some_bits(rows: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with the bits of the shingles in column gram: it lets all of them pass, and others more the more there are."""
-    at = F.shiftrightunsigned("gram", 64 - BITS)
-    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    out = np.zeros(((1 << BITS) >> 15) + 1 << 12, np.uint8)
-    for row in parts.collect():  # 4 kB each, and 2**BITS / 2**15 + 1 at most
-        out[row.bucket << 12 : row.bucket + 1 << 12] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def has_bits(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    at = (gram.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-    # Spark's buckets begin at 1 with position 0 alone in bucket 0's place: bucket (x + 32767) // 32768, position (x - 1) % 32768
-    place = np.where(at > 0, ((at + 32767) // 32768 << 15) + (at - 1) % 32768, 0)
-    return (bits[place >> 3] >> (place & 7)) & 1 == 1
-
-
 def _both(u, v) -> list[Column]:
     return [F.greatest(u, v).alias("u"), F.least(u, v).alias("v")]
 
@@ -328,20 +311,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["text_key", "size", "first"])
 
             fresh = written(grams.join(again, "text_key", "left_semi").where("size(grams) > 0").mapInArrow(anew, "text_key long, size long, first array<long>"))
-            fresh = fresh.select(F.explode("first").alias("gram"), "text_key", "size")
-            seen = some_bits(fresh)
-            last = np.sort(late.column("gram").to_numpy())
-
-            def others(batches):
-                for batch in batches:
-                    gram = batch.column(0).to_numpy()
-                    yield batch.filter(pa.array(has_bits(seen, gram) & (last[np.minimum(np.searchsorted(last, gram), len(last) - 1)] != gram)))
-
-            old = own.select(F.explode("first").alias("gram"), "text_key", "size").mapInArrow(others, "gram long, text_key long, size long")
-            pairs, members, crowded = listed(fresh.union(old))
+            # among themselves only: a pair with any other text shares its first shingles in the old order, and all of them are either listed or of joined texts
+            pairs, members, crowded = listed(fresh.select(F.explode("first").alias("gram"), "text_key", "size"))
             rest = across(pairs)
             if rest.limit(1).count():
-                grams = grams.union(written(sets_of(rest.select(F.explode(F.array("u", "v")).alias("text_key")).union(members.select("text_key")).distinct().join(grams, "text_key", "left_anti"))))
                 links = links.union(confirmed(rest))
                 roots = connected_components(links, written).toDF("text_key", "root")
     if crowded:
