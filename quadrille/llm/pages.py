@@ -1,10 +1,11 @@
 """Main text of web pages, with boilerplate found by suffix arrays over a host's pages.
 
-Where a page marks its main part, blocks in it stay and blocks outside go, whatever repeats: pages
-legitimately share passages. Repetition judges what markup leaves open: the blocks of pages that mark
-no main part, and blocks inside one whose class only hints at boilerplate. The token streams
-of a host's pages outside their certain main text are concatenated and their suffixes sorted; windows of tokens
-that many distinct pages hold overlap to the maximal repeated runs, and a block that such runs cover as a whole goes.
+The token streams of a host's pages, each block begun and ended by a mark, are concatenated and their suffixes
+sorted. Neighbours in that order with a long common prefix are repeats; those that enough distinct pages hold overlap
+to the maximal repeated runs, and a block that such runs cover as a whole is boilerplate. So is every page of
+every host judged. A check of the markup follows, since pages legitimately share passages and not all boilerplate
+repeats: blocks of a page's marked main part come back, and blocks outside it, or named as noise, go. What markup leaves
+open stays as the repeats have it: the blocks of pages that mark no main part, and blocks inside one whose class only hints at boilerplate.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, id_type, slices, texts
+from .common import SLICE_BYTES, Written, id_type, slices, texts
 
 # Elements by role, and words of class, id and role that mark what isn't main text.
 MAIN = {"article", "main"}
@@ -39,6 +40,9 @@ NOISE_WORDS = {
 FILLER = {"area", "bar", "block", "bottom", "box", "button", "buttons", "container", "content", "group", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "reader", "right", "section", "site", "slot", "text", "title", "top", "user", "wrap", "wrapper"}
 CLEAN, OPEN, NOISY = 0, 1, 2
 
+#: Windows of candidates, 16 bytes each, up to which their table is broadcast.
+MOST_BROADCAST = 1 << 20
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<open>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _CLOSES_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt", "li"}
@@ -121,19 +125,23 @@ def host_of(url: str | None) -> str:
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
-    """Places of a token stream in the order of their suffixes, by prefix doubling."""
+    """Places of a token stream in the order of their suffixes, by prefix doubling of those that still tie."""
     n = len(tokens)
     order = np.argsort(tokens, kind="stable")
-    rank = np.zeros(n, np.int64)
-    if n:
-        rank[order] = np.concatenate([[0], np.cumsum(tokens[order][1:] != tokens[order][:-1])])
+    if not n:
+        return order
+    new = np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]])  # where a group of ties begins
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     k = 1
-    while n and rank[order[-1]] < n - 1 and k < n:
-        second = np.full(n, -1)
-        second[:-k] = rank[k:]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        rank[order] = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
+    while len(at := np.flatnonzero(~(new & np.append(new[1:], True)))):
+        tied = order[at]
+        second = np.where(tied + k < n, rank[np.minimum(tied + k, n - 1)], -1)
+        key = rank[tied] * (n + 1) + second + 1
+        by = np.argsort(key, kind="stable")
+        order[at], key = tied[by], key[by]
+        new[at] = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[at]] = np.maximum.accumulate(np.where(new[at], at, 0))
         k *= 2
     return order
 
@@ -156,14 +164,6 @@ def common_prefixes(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stream(own: list[str]) -> list[str]:
-    """Tokens of blocks, each begun and ended by a mark, so that a short block can be a long substring."""
-    out = []
-    for b in own:
-        out += ["\x02", *b.split(), "\x03"]
-    return out
-
-
 def states(page: str) -> tuple[list[str], list[int]]:
     """The blocks of a page, and which are main text (CLEAN), left to repetition (OPEN) or not main text (NOISY)."""
     found = list(blocks(page))
@@ -171,126 +171,221 @@ def states(page: str) -> tuple[list[str], list[int]]:
     return [t for t, *_ in found], [(noise if inside else NOISY) if marked else max(noise, OPEN) for _, inside, noise in found]
 
 
-def _windows(streams: list[list[str]], length: int) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """How many streams hold each window of length tokens, off one suffix array over all of them."""
-    code: dict[str, int] = {}
-    flat, owner = [], []
-    for k, s in enumerate(streams):
-        flat += [code.setdefault(t, len(code)) for t in s] + [-1 - k]  # an end of its own, which matches no other
-        owner += [k] * (len(s) + 1)
-    tokens = np.array(flat, np.int64)
-    ends = np.flatnonzero(tokens < 0)
-    room = ends[np.searchsorted(ends, np.arange(len(tokens)))] - np.arange(len(tokens)) if len(tokens) else tokens
-    order = suffix_array(tokens)
-    shared = common_prefixes(tokens, order)
-    words = list(code)
-    group: list[int] = []
+class Streams:
+    """The concatenated token streams of some pages, given the blocks and states of each.
 
-    def told():
-        return len({owner[i] for i in group}), tuple(words[c] for c in flat[group[0] : group[0] + length])
+    A block is begun and ended by a mark, so that a short one can be a long substring. Each page has two
+    streams, what isn't certain main text and what is, and each ends in a token that matches no other.
+    """
 
-    for place, lcp in zip(order.tolist(), shared.tolist()):
-        if lcp < length and group:
-            yield told()
-            group = []
-        if room[place] >= length:
-            group.append(place)
-    if group:
-        yield told()
+    def __init__(self, found: list[tuple[list[str], list[int]]]):
+        self.code: dict[str, int] = {"\x02": 0, "\x03": 1}
+        flat: list[int] = []
+        self.first, self.size, self.begins = [], [], [0]  # of each block, by page; of each stream
+        code = self.code
+        for own, marks in found:
+            at, long = [0] * len(own), [0] * len(own)
+            for certain in (False, True):
+                for k, mark in enumerate(marks):
+                    if (mark == CLEAN) == certain:
+                        at[k] = len(flat)
+                        flat.append(0)
+                        flat += [code.setdefault(t, len(code)) for t in own[k].split()]
+                        flat.append(1)
+                        long[k] = len(flat) - at[k]
+                flat.append(-len(self.begins))
+                self.begins.append(len(flat))
+            self.first.append(at)
+            self.size.append(long)
+        self.tokens = np.array(flat, np.int64)
+        sizes = np.diff(self.begins)
+        self.stream = np.repeat(np.arange(len(sizes)), sizes)  # page k has streams 2 k and 2 k + 1
+        self.room = np.repeat(np.array(self.begins[1:]) - 1, sizes) - np.arange(len(flat))
+
+    def repeats(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, group, pages): the places with room for length tokens by the group of those that share them, and how many pages hold each group outside their certain main text."""
+        order = suffix_array(self.tokens)
+        group = np.cumsum(common_prefixes(self.tokens, order) < length)
+        has = self.room[order] >= length
+        places, group = order[has], group[has]
+        group = np.cumsum(np.diff(group, prepend=group[:1]) > 0)
+        outside = self.stream[places] % 2 == 0
+        n = len(self.begins)
+        held = np.unique(group[outside] * n + self.stream[places[outside]]) // n
+        return places, group, np.bincount(held, minlength=int(group.max(initial=-1)) + 1)
+
+    def unique(self, places: np.ndarray, length: int) -> list[list[bool]]:
+        """For each block of each page whether it has a token that no repeat covers, where repeats of length tokens begin at places."""
+        edge = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(edge, places, 1)
+        np.add.at(edge, places + length, -1)
+        free = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) == 0)]).tolist()
+        return [[free[a + n] > free[a] for a, n in zip(at, long)] for at, long in zip(self.first, self.size)]
+
+    def digests(self, places: np.ndarray, length: int) -> np.ndarray:
+        """16 bytes, as two numbers, for the length tokens from each place on; the same in all tasks."""
+        used = np.zeros(len(self.code), bool)
+        taken = self.tokens[places[:, None] + np.arange(length)]
+        used[taken] = True
+        values = np.zeros((len(self.code), 2), np.uint64)
+        for word, c in self.code.items():
+            if used[c]:
+                values[c] = np.frombuffer(hashlib.blake2b(word.encode(), digest_size=16).digest(), np.uint64)
+        out = np.zeros((len(places), 2), np.uint64)
+        for j in range(length):
+            out = out * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64) + values[taken[:, j]]
+        return out
+
+
+def checked(found: list[tuple[list[str], list[int]]], unique: list[list[bool]]) -> list[bytes]:
+    """For each block of each page whether it stays: unique ones do, unless markup decides."""
+    return [bytes([mark == CLEAN or mark == OPEN and stays for mark, stays in zip(marks, own)]) for (_, marks), own in zip(found, unique)]
+
+
+def _wrap(found: list[tuple[list[str], list[int]]]) -> bytes:
+    """Blocks, in which white space is single spaces, and states of some pages."""
+    raw = "\f".join("\n".join(["".join(map(str, marks)), *own]) for own, marks in found).encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(raw, asbytes=True)
+
+
+def _unwrap(body: bytes) -> list[tuple[list[str], list[int]]]:
+    raw = pa.Codec("zstd").decompress(body[8:], int.from_bytes(body[:8], "little"), asbytes=True)
+    lines = [page.split("\n") for page in raw.decode().split("\f")]
+    return [(own, [int(m) for m in marks]) for marks, *own in lines]
+
+
+def host_column(url):
+    """host_of as a column."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """(id, url, host, shard, total, body) of each page of (id, url, host, shard, total, html); body has its blocks and states."""
 
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, 5):
+                bodies = [_wrap([states(raw.decode())]) for raw in texts(piece.column(5))]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:5], pa.array(bodies, pa.binary())], names=["id", "url", "host", "shard", "total", "body"])
 
-def _digest(window) -> bytes:
-    return hashlib.blake2b("\x00".join(window).encode(), digest_size=16).digest()
+    kinds = f"id {id_type(pages, 'id')}, url {id_type(pages, 'url')}"
+    return pages.select("id", "url", "host", "shard", "total", "html").mapInArrow(run, f"{kinds}, host string, shard long, total long, body binary")
 
 
-def parse(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, host, blocks, states) of each page."""
+def judged_shards(parsed: DataFrame, length: int, share: float) -> DataFrame:
+    """(host, total, ids, urls, body, kept, windows) for each shard of a host's pages, off one suffix array over all of them.
 
-    def run(batches):
+    kept tells the blocks that stay if the shard has all pages of its host, and is null otherwise. Then windows
+    has the digests of the repeats that the share of the shard's pages hold: what the share of all the host's pages
+    holds, the share of some shard's pages holds.
+    """
+    kinds = f"ids array<{id_type(parsed, 'id')}>, urls array<{id_type(parsed, 'url')}>"
+
+    def run(key, rows):
+        found = [page for body in rows.column("body").to_pylist() for page in _unwrap(body)]
+        total = rows.column("total")[0].as_py()
+        whole = total is None
+        streams = Streams(found)
+        places, group, held = streams.repeats(length)
+        enough = held >= max(2 if whole else 1, share * len(found))
+        chosen = enough[group]
+        kept = checked(found, streams.unique(places[chosen], length)) if whole else None
+        first = np.unique(group[chosen], return_index=True)[1]
+        windows = b"" if whole else streams.digests(places[chosen][first], length).astype("<u8").tobytes()
+        lists = [pa.array([c.to_pylist()], pa.list_(c.type)) for c in (rows.column("id"), rows.column("url"))]
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([total], pa.int64()), *lists, pa.array([_wrap(found)], pa.binary()), pa.array([kept], pa.list_(pa.binary())), pa.array([windows], pa.binary())], names=["host", "total", "ids", "urls", "body", "kept", "windows"])
+
+    return parsed.groupBy("host", "shard").applyInArrow(run, f"host string, total long, {kinds}, body binary, kept array<binary>, windows binary")
+
+
+def repeated_windows(shards: DataFrame, length: int, share: float) -> DataFrame:
+    """(host, windows) of the windows that two pages and the share of all pages hold, for hosts of several shards."""
+
+    def split(batches):
+        for batch in batches:
+            for host, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [windows[i : i + 16] for i in range(0, len(windows), 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array(found, pa.binary())], names=["host", "window"])
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("host").agg(F.array_sort(F.collect_list("window")).alias("windows"))
+
+    def count(batches):
         for batch in batches:
-            for piece in slices(batch, 2):
-                found = [states(raw.decode()) for raw in texts(piece.column(2))]
+            for row in range(batch.num_rows):
+                host, total, body, windows = (batch.column(i)[row].as_py() for i in range(4))
+                known = _known(windows)
+                streams = Streams(_unwrap(body))
+                places = np.flatnonzero((streams.room >= length) & (streams.stream % 2 == 0))
+                at, hit = _look(known, streams, places, length)
+                n = len(streams.begins)
+                held = np.bincount(np.unique(at[hit] * n + streams.stream[places[hit]]) // n, minlength=len(known))
+                some = np.flatnonzero(held)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array([host_of(u) for u in piece.column(1).to_pylist()], pa.string()), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.int8()))],
-                    names=["id", "url", "host", "blocks", "states"],
+                    [pa.array([host] * len(some), pa.string()), pa.array([total] * len(some), pa.int64()), pa.array([known[i].tobytes() for i in some], pa.binary()), pa.array(held[some], pa.int64())], names=["host", "total", "window", "n"]
                 )
 
-    kinds = f"id {id_type(pages, id_col)}, url {id_type(pages, url_col)}"
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"{kinds}, host string, blocks array<string>, states array<byte>")
+    candidates = shards.where("octet_length(windows) > 0").select("host", "windows").mapInArrow(split, "host string, window binary").distinct()
+    counts = with_windows(shards, joined(candidates), "inner").select("host", "total", "body", "found").mapInArrow(count, "host string, total long, window binary, n long")
+    enough = counts.groupBy("host", "window").agg(F.sum("n").alias("n"), F.first("total").alias("total")).where((F.col("n") > 1) & (F.col("n") >= share * F.col("total")))
+    return joined(enough)
 
 
-#: What of a page isn't certain main text, and its certain main text.
-_DOUBTFUL = "transform(filter(arrays_zip(blocks, states), x -> x.states > 0), x -> x.blocks)"
-_CERTAIN = "array_join(transform(filter(arrays_zip(blocks, states), x -> x.states = 0), x -> x.blocks), '\n\n')"
+def with_windows(shards: DataFrame, windows: DataFrame, how: str) -> DataFrame:
+    """shards with the windows of their hosts as found."""
+    windows = Written(shards.sparkSession)(windows.select("host", F.col("windows").alias("found")))
+    many = windows.agg(F.sum(F.size("found"))).first()[0] or 0
+    return shards.join(F.broadcast(windows) if many <= MOST_BROADCAST else windows, "host", how)
 
 
-def repeated_windows(streams: DataFrame, length: int, share: float) -> DataFrame:
-    """(host, window) digests of windows of length tokens that two pages and a share of the host's pages hold, from (host, doubtful).
+def _known(windows) -> np.ndarray:
+    """Digests as rows of two numbers, in the order of the first."""
+    rows = np.frombuffer(b"".join(windows), "<u8").reshape(-1, 2)
+    return rows[np.argsort(rows[:, 0])]
 
-    Every task sorts the suffixes of its own pages and sends each window once, with how many
-    pages hold it; only these are combined, so a host's pages never meet in one task.
-    """
 
-    def run(batches):
-        for batch in batches:
-            by: dict[str, list[list[str]]] = {}
-            for host, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(host, []).append(_stream(own))
-            for host, rows in by.items():
-                found = [(n, _digest(window)) for n, window in _windows(rows, length)]
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(found), pa.string()), pa.array([w for _, w in found], pa.binary()), pa.array([n for n, _ in found], pa.int64())], names=["host", "window", "n"])
+def _look(known: np.ndarray, streams: Streams, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows at places, where in known they are, and which of them are there."""
+    if not len(known):
+        return np.zeros(len(places), np.int64), np.zeros(len(places), bool)
+    own = streams.digests(places, length)
+    at = np.minimum(np.searchsorted(known[:, 0], own[:, 0]), len(known) - 1)
+    return at, (known[at] == own).all(1)
 
-    held = streams.mapInArrow(run, "host string, window binary, n long").groupBy("host", "window").agg(F.sum("n").alias("n")).where("n > 1")
-    hosts = streams.groupBy("host").agg(F.count("*").alias("pages"))
-    return held.join(hosts, "host").where(F.col("n") >= share * F.col("pages")).select("host", "window")
 
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 8, share: float = 0.3) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", length: int = 8, share: float = 0.3, shard_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id_col, url_col, text, n_chars): the main text of each page.
 
-    A null page is empty. Blocks that markup leaves open go if runs of at least length tokens cover them that two pages and
-    a share of the host's pages hold; blocks are never cut. A host's page without doubtful blocks counts
-    for that share as well. Each row is a page, repeated rows too; other columns are left out.
+    A null page is empty. Boilerplate by repetition are blocks that runs of at least length tokens cover that two pages and
+    a share of the host's pages hold outside their certain main text; blocks are never cut. Each row is a page, repeated rows too; other
+    columns are left out. The pages of a host are sorted in shards of about shard_bytes; if there are several, their repeats are counted over all of them.
     """
     written = Written(pages.sparkSession)
-    parsed = written(parse(pages, id_col, url_col, html_col))
-    open_ = parsed.where(F.expr("exists(states, x -> x = 1)"))
-    shown = [F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars")]
-    certain = parsed.where(F.expr("not exists(states, x -> x = 1)")).select("id", "url", F.expr(_CERTAIN).alias("text"))
-    if not open_.limit(1).count():  # markup decides about every block
-        return certain.select(*shown)
-    some = open_.select("host").distinct()
-    streams = parsed.join(some, "host", "left_semi").select("host", F.expr(_DOUBTFUL).alias("doubtful"))
-    repeated = written(repeated_windows(streams, length, share))
-
-    def windows(batches):
-        for batch in batches:
-            for key, host, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                s = _stream(own)
-                n = max(0, len(s) - length + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n, pa.int64()), pa.array([host] * n, pa.string()), pa.array([_digest(s[i : i + length]) for i in range(n)], pa.binary()), pa.array(range(n), pa.int32())], names=["key", "host", "window", "place"]
-                )
-
-    key = F.xxhash64("host", "blocks", "states", F.lit(1))
-    keyed = open_.select(key.alias("key"), "host", "blocks", "states").dropDuplicates(["key"])
-    hits = keyed.select("key", "host", F.expr(_DOUBTFUL).alias("doubtful")).mapInArrow(windows, "key long, host string, window binary, place int").join(repeated, ["host", "window"], "left_semi")
-    covered = hits.groupBy("key").agg(F.collect_set("place").alias("places"))  # as many as the page has tokens at most
-
-    def judge(batches):
+    plain = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_column(F.col("url")))
+    sizes = plain.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes"), F.count("*").alias("total"))
+    large = written(sizes.where(F.col("bytes") > shard_bytes).select("host", "total", F.ceil(F.col("bytes") / shard_bytes).alias("shards")))  # at most one in shard_bytes of input
+    dealt = plain.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(large), "host", "left")
+    dealt = dealt.withColumn("shard", F.pmod("row", F.coalesce("shards", F.lit(1))).cast("long"))
+    shards = written(judged_shards(parse(dealt), length, share))
+    several = shards.where("kept is null")
+    kinds = f"id {id_type(plain, 'id')}, url {id_type(plain, 'url')}, text string"
+
+    def tell(batches):
         for batch in batches:
-            found = []
-            for own, marks, places in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                gone = {p + k for p in places or () for k in range(length)}
-                at, kept = 0, []
-                for text, mark in zip(own, marks):
-                    size = len(text.split()) + 2 if mark else 0
-                    if mark == CLEAN or mark == OPEN and not all(i in gone for i in range(at, at + size)):
-                        kept.append(text)
-                    at += size
-                found.append("\n\n".join(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["key", "rest"])
-
-    judged = keyed.join(covered, "key", "left").select("key", "blocks", "states", "places").mapInArrow(judge, "key long, rest string")
-    out = certain.unionByName(open_.select("id", "url", key.alias("key")).join(judged, "key").select("id", "url", F.col("rest").alias("text")))
-    return out.select(*shown)
+            ids, urls = batch.column(0), batch.column(1)
+            for row in range(batch.num_rows):
+                body, kept, windows = (batch.column(i)[row].as_py() for i in (2, 3, 4))
+                found = _unwrap(body)
+                if kept is None:
+                    streams = Streams(found)
+                    places = np.flatnonzero(streams.room >= length)
+                    _, hit = _look(_known(windows or ()), streams, places, length)
+                    kept = checked(found, streams.unique(places[hit], length))
+                out = ["\n\n".join(b for b, stays in zip(own, stay) if stays) for (own, _), stay in zip(found, kept)]
+                yield pa.RecordBatch.from_arrays([ids[row].values, urls[row].values, pa.array(out, pa.string())], names=["id", "url", "text"])
+
+    told = shards.withColumn("found", F.lit(None).cast("array<binary>"))
+    if large.limit(1).count():
+        told = told.where("kept is not null").unionByName(with_windows(several, repeated_windows(several, length, share), "left"))
+    told = told.select("ids", "urls", "body", "kept", "found").mapInArrow(tell, kinds)
+    return told.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))

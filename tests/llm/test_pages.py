@@ -98,3 +98,53 @@ def test_extract_equals_brute_force(spark):
     want = brute(rows)
     assert [got[i] for i in range(len(rows))] == want
     assert all("w" in t for t in want) and sum("\n\n" in t for t in want) > 40
+
+
+def menus(n, hosts=2):
+    """Marked pages whose menus and notices repeat, the last of each host with an open block that repeats outside main parts."""
+    notice = "you may read all of these pages only if you keep to our rules"
+    page = "<body><ul>" + "<li>Home</li><li>News</li><li>About us</li>" + "</ul><article><p>text number %d of this page</p>%s</article><div>" + notice + "</div></body>"
+    return [(i, f"http://H{i % hosts}.org/{i}", page % (i, f"<div class='related-work'>{notice}</div><div class='related-work'>own words {i}</div>" if i >= n - hosts else "")) for i in range(n)]
+
+
+def test_repeats_are_found_on_marked_pages():
+    rows = [r for r in menus(12) if r[0] % 2]
+    found = [pages.states(html) for _, _, html in rows]
+    streams = pages.Streams(found)
+    places, group, held = streams.repeats(8)
+    assert held.max() == len(rows)
+    unique = streams.unique(places[(held >= 2)[group]], 8)
+    assert unique == [[False] * 3 + [True] + ([False, True] if r[0] >= 10 else []) + [False] for r in rows]  # menu, text, open blocks, notice
+    assert [len(x) - sum(pages.checked(found, unique)[k]) for k, x in enumerate(unique)] == [4] * 5 + [5]
+
+
+def test_every_page_goes_through_the_suffix_arrays(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 3}.org/", f"<nav>menu</nav><article>text {i}</article>") for i in range(30)] + [(30, None, None)]
+    sorted_, real = [], pages.judged_shards
+
+    def judged(parsed, *how):
+        shards = real(parsed, *how)
+        sorted_.append(sum(len(r.ids) for r in shards.collect()))
+        return shards
+
+    monkeypatch.setattr(pages, "judged_shards", judged)
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sorted_ == [31] and got == {i: f"text {i}" for i in range(30)} | {30: ""}
+
+
+def test_shards_of_a_host_count_together(spark):
+    rng = np.random.default_rng(7)
+    para = lambda n: " ".join("w%d" % rng.integers(0, 500) for _ in range(n))
+    rows = menus(40)
+    for h in range(2):  # pages without marks; notices on about the share of the host's pages
+        notices = [para(12) for _ in range(4)]
+        for i in range(60):
+            shown = [x for k, x in enumerate(notices) if rng.random() < 0.26 + 0.03 * k]
+            rows.append((len(rows), f"http://h{h}.org/p{i}", "".join(f"<div>{x}</div>" for x in [para(15), *shown, para(9)])))
+    rows += [(len(rows), "http://h0.org/x", ""), (len(rows) + 1, "http://h0.org/y", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    want = brute([(i, u, h) for i, u, h in rows])
+    for size in (1 << 22, 4000, 700):  # one, several, many shards of each host
+        got = {r.page_id: r.text for r in pages.extract(df, shard_bytes=size).collect()}
+        assert [got[i] for i in range(len(rows))] == want, size
+    assert pages.extract(df, shard_bytes=10**6).count() == len(rows)
