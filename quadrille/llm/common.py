@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import pickle
 import re
@@ -83,6 +84,15 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system; workers outlive their tasks and would hold it through the next ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def map_slices(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow by slices of bounded bytes; fn returns a batch of the schema, or None for no rows."""
 
@@ -92,7 +102,8 @@ def map_slices(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.Record
                 out = fn(piece)
                 if out is not None and out.num_rows:
                     yield out
-                pa.default_memory_pool().release_unused()
+                del piece, out
+                give_back()
 
     return df.mapInArrow(run, schema)
 

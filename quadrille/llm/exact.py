@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, id_type, map_slices, texts
+from .common import Written, give_back, id_type, map_slices, texts
 
 _GEAR = np.random.Generator(np.random.PCG64(2048)).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -67,6 +67,8 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
                     names=["id", "uid", "recipe", "sha", "n_bytes"],
                 )
                 seen += len(all_texts)
+                del piece, all_texts
+                give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type(docs, id_col)}, uid long, recipe binary, sha binary, n_bytes long")
 

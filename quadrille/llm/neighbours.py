@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts
+from .common import give_back, map_slices, texts
 
 SHAPES, WORDS, HABITS = 768, 1024, 64
 WIDTH = SHAPES + WORDS + HABITS
@@ -120,6 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = [pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         rows = np.array([np.frombuffer(r, np.float16) for r, _ in got], np.float32).reshape(-1, WIDTH)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Space(rows, np.array([n for _, n in got]), **how))], pa.binary())], names=["space"])
+        del got, rows
+        give_back()
 
     # at most `most` rows of 4 kB, in one task; the driver only gets the axes and the vectors
     rows = map_slices(found, 0, "row binary, label double", run).orderBy("row", "label").limit(most).coalesce(1)
