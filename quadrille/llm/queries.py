@@ -29,7 +29,7 @@ def op4_html_suffix_array(spark: SparkSession, d: str) -> DataFrame:
     return pages.extract(spark.read.parquet(f"{d}/pages.parquet"))
 
 
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op5_url_segments(spark: SparkSession, d: str) -> DataFrame:
