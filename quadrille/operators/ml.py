@@ -85,6 +85,8 @@ CLASSIFIERS = {
 REGRESSORS = {"rf": lambda seed: RandomForestRegressor(numTrees=20, seed=seed), "gb": lambda seed: GBTRegressor(maxIter=10, seed=seed), "linear": lambda seed: LinearRegression()}
 #: Kinds that pyspark.ml has no learner for, and the one nearest to each.
 NEAREST = {"erf": "rf", "xgb": "gb", "lgbm": "gb", "hgb": "gb", "svm": "linsvc", "nusvc": "linsvc"}
+#: Rows of a training set in a task, about. Learners keep a task's rows in memory; a forest of 20 trees on 3 features takes some 200 bytes for each.
+TASK_ROWS = 1 << 17
 SCALERS = {"standard": StandardScaler, "minmax": MinMaxScaler, "l2": Normalizer, "maxabs": MaxAbsScaler}
 
 
@@ -100,10 +102,31 @@ def pipeline(features: list[str], kind: str = "rf", scaler: str | None = None, r
     return Pipeline(stages=[*stages, models[kind](seed)])
 
 
+def spread(train: DataFrame, features: list[str], label: str = "label") -> DataFrame:
+    """train in as many tasks as its rows need: a join of small tables may leave all of its many rows to one task.
+
+    Rows are dealt in turn, so equal ones don't meet in a task, and lie in order there, so when they arrive makes no odds.
+    What is enough for one task stays as it is. Rows are counted first.
+    """
+    n = -(-train.count() // TASK_ROWS)
+    return train if n < 2 else train.repartition(n).sortWithinPartitions(label, *features)
+
+
+def fit(train: DataFrame, features: list[str], kind: str = "rf", scaler: str | None = None, regression: bool = False, seed: int = 0) -> PipelineModel:
+    """The model of pipeline() on all rows of train."""
+    plan, rows = pipeline(features, kind, scaler, regression, seed), spread(train, features)
+    if rows is train:
+        return plan.fit(train)
+    rows = rows.persist()  # learners go over them several times
+    model = plan.fit(rows)
+    rows.unpersist()
+    return model
+
+
 def create_model(train: DataFrame, features: list[str], kind: str = "rf", scalers: tuple = (None, "standard"), regression: bool = False, folds: int = 3, group: str | None = None, seed: int = 0) -> tuple[PipelineModel, list[dict]]:
     """The best of the scalers by cross-validated score, fitted on all rows, and every score. Folds come from hashes of group, or of the rows."""
     key = F.col(group) if group else F.concat_ws("|", *[F.col(f).cast("string") for f in features])
-    data = train.withColumn("_fold", group_fold(key, folds)).cache()
+    data = spread(train, features).withColumn("_fold", group_fold(key, folds)).cache()
     judge = RegressionEvaluator(metricName="r2") if regression else MulticlassClassificationEvaluator(metricName="accuracy")
     scores = []
     for s in scalers:
@@ -129,6 +152,7 @@ def search(train: DataFrame, features: list[str], settings: dict[str, list], kin
     from itertools import product
 
     key = F.col(group) if group else F.concat_ws("|", *[F.col(f).cast("string") for f in features])
+    train = spread(train, features)
     data = train.withColumn("_fold", group_fold(key, folds))
     judge = RegressionEvaluator(metricName="r2") if regression else MulticlassClassificationEvaluator(metricName="accuracy")
     used = [r["_fold"] for r in data.groupBy("_fold").count().collect()]  # a row a fold
@@ -189,7 +213,7 @@ def importances(model: PipelineModel, features: list[str]) -> DataFrame:
 
 def eliminate(train: DataFrame, features: list[str], keep: int, seed: int = 0) -> DataFrame:
     """(feature, rank): features dropped one by one, the least important first; those kept have rank 1."""
-    left, out = list(features), []
+    train, left, out = spread(train, features), list(features), []
     while len(left) > keep:
         model = pipeline(left, "rf", seed=seed).fit(train)
         weights = model.stages[-1].featureImportances.toArray().tolist()

@@ -100,7 +100,7 @@ def rf_regress(spark, d):
 @query("prob_pixels")
 def prob_pixels(spark, d):
     train, test = _halves(spark, d)
-    return ml.probabilities(ml.pipeline(FEATURES, "rf").fit(train), test, FEATURES, ["vec_id"])
+    return ml.probabilities(ml.fit(train, FEATURES), test, FEATURES, ["vec_id"])
 
 
 @query("classify_pixels")
@@ -108,28 +108,28 @@ def classify_pixels(spark, d):
     """Cells by a forest fitted on zones' cells; cells of zeros are left out, as empty blocks are."""
     z = zones(spark, d).withColumn("class", 1 + F.col("fid") % 3)
     bands = ["b1", "b2", "b3"]
-    model = ml.pipeline(bands, "rf").fit(ml.clean(ml.training_pixels(grid(spark, d), z, "class", bands), bands))
+    model = ml.fit(ml.clean(ml.training_pixels(grid(spark, d), z, "class", bands), bands), bands)
     return ml.predict(model, grid(spark, d).where("b1 <> 0"), bands).select(*CELL, "prediction")
 
 
 @query("classify_objects")
 def classify_objects(spark, d):
     rows = zones(spark, d).withColumn("label", (F.col("s_nationkey") % 3).cast("double"))
-    model = ml.pipeline(["w", "h", "s_acctbal"], "rf").fit(rows)
+    model = ml.fit(rows, ["w", "h", "s_acctbal"])
     return ml.predict(model, rows, ["w", "h", "s_acctbal"]).select("fid", "prediction")
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
     train, _ = _halves(spark, d)
-    return ml.importances(ml.pipeline(FEATURES, "rf").fit(train), FEATURES)
+    return ml.importances(ml.fit(train, FEATURES), FEATURES)
 
 
 @query("permutation_importance")
 def permutation_importance(spark, d):
     train, test = _halves(spark, d)
     features = FEATURES[:3]
-    return ml.permutation_importance(ml.pipeline(features, "rf").fit(train), test, features, "vec_id")
+    return ml.permutation_importance(ml.fit(train, features), test, features, "vec_id")
 
 
 @query("rfe")

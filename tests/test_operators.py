@@ -240,3 +240,37 @@ def test_search_saving_and_refused_learners(spark, tmp_path):
         raise AssertionError("svm is no learner here")
     except ValueError as refused:
         assert "linsvc" in str(refused)
+
+
+def test_training_rows_are_spread(spark, monkeypatch):
+    """No task of a fit holds many more rows than TASK_ROWS, none is lost, and a small set is left as it is."""
+    from collections import Counter
+
+    from pyspark.ml import Pipeline
+
+    from quadrille.plans import learning
+
+    d, seen, plain = "/root/testdata/sf0.01", [], Pipeline.fit
+
+    def fit(self, train, *a):
+        seen.append([r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()])
+        return plain(self, train, *a)
+
+    monkeypatch.setattr(Pipeline, "fit", fit)
+    learning.classify_pixels(spark, d).count()
+    total = sum(seen[-1])
+    assert len(seen[-1]) == 1 and total > 1000  # a join of small tables, in one task
+    monkeypatch.setattr(ml, "TASK_ROWS", 100, raising=False)
+    assert learning.classify_pixels(spark, d).count() == 4096
+    assert sum(seen[-1]) == total and max(seen[-1]) <= 101
+    monkeypatch.setattr(ml, "TASK_ROWS", 30)
+    for name in ("prob_pixels", "classify_objects", "feature_importance", "permutation_importance", "rf_predictions", "rfe"):
+        seen.clear()
+        assert getattr(learning, name)(spark, d).count() > 0
+        assert seen and max(map(max, seen)) <= 32, name
+    same = spark.createDataFrame([(1.0, 2.0, i % 2 + 0.0) for i in range(500)] + [(None, float("nan"), 1.0)], "a double, b double, label double").coalesce(1)
+    dealt = ml.spread(same, ["a", "b"])
+    assert max(dealt.rdd.glom().map(len).collect()) <= 31  # equal rows too
+    assert Counter(map(str, dealt.collect())) == Counter(map(str, same.collect()))
+    monkeypatch.setattr(ml, "TASK_ROWS", 501)
+    assert ml.spread(same, ["a", "b"]) is same and ml.spread(same.limit(0), ["a", "b"]).count() == 0
